@@ -79,7 +79,7 @@ def statement_rows() -> str:
         ("CASE WHEN pk % 4 = 0 THEN 'Operating Income' ELSE 'EBIT' END", "ebit"),
         ("'Net Income'", "net_income"), ("'EBITDA'", "ebitda"),
         ("'Interest Expense'", "CASE WHEN pk % 13 <> 0 THEN ebit * (pk % 5) / 10 END"),
-        ("'Interest Expense Non Operating'", "ebit * 0.01e0"),
+        ("'Interest Expense Non Operating'", "ebit * 0.1e0"),
         ("'Tax Provision'", "ebit * (pk % 8) / 10"), ("'Pretax Income'", "ebit"),
     ]
     out = []

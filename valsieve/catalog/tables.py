@@ -180,7 +180,7 @@ class Tables:
             (F.lit("Net Income"), F.col("net_income")),
             (F.lit("EBITDA"), F.col("ebitda")),
             (F.lit("Interest Expense"), F.when(pk % 13 != 0, F.col("ebit") * (pk % 5) / 10)),
-            (F.lit("Interest Expense Non Operating"), F.col("ebit") * 0.01),
+            (F.lit("Interest Expense Non Operating"), F.col("ebit") * 0.1),
             (F.lit("Tax Provision"), F.col("ebit") * (pk % 8) / 10),
             (F.lit("Pretax Income"), F.col("ebit")),
         ]
