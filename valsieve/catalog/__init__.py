@@ -34,6 +34,6 @@ def query(name: str, sql: str | None = None, tables: dict[str, str] | None = Non
 def load() -> None:
     """Import the modules that register queries."""
     from valsieve.catalog import (  # noqa: F401
-        metric_queries, quality_queries, screen_queries,
+        journal_queries, metric_queries, quality_queries, screen_queries,
 
     )
