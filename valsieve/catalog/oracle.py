@@ -390,6 +390,21 @@ SELECT CASE pk % 3 WHEN 0 THEN 'etf' WHEN 1 THEN 'fondo' ELSE 'accion' END AS ti
 }
 
 
+UID = "concat('uv_', CAST(2024 + ({nk}) // 4 AS STRING), 'q', CAST(({nk}) % 4 + 1 AS STRING), '_r01')"
+TABLES["mercados"] = f"SELECT n_nationkey AS nk, {nth(MARKETS, 'n_nationkey')} AS region, {UID.format(nk='n_nationkey')} AS universe_id FROM nation WHERE n_nationkey < 22"
+TABLES["miembros"] = "SELECT m.universe_id, c.* FROM catalogo c JOIN mercados m USING (region)"
+TABLES["versiones1"] = """
+SELECT m.*, COALESCE(h.ticker_count, 0) AS cuenta, COALESCE(h.hash, '') AS huella_real,
+ CASE WHEN nk = 21 THEN 'active' WHEN nk = 8 THEN 'archived' WHEN nk % 3 = 0 THEN 'draft' ELSE 'retired' END AS status FROM mercados m LEFT JOIN huella h USING (region)"""
+TABLES["versiones"] = f"""
+SELECT nk, CASE WHEN nk = 5 THEN 'universo-5' ELSE universe_id END AS universe_id,
+ CASE WHEN nk IN (6, 7) THEN 'oficiales/repetido.csv' ELSE concat('oficiales/', universe_id, '.csv') END AS path, status,
+ CASE WHEN nk = 9 THEN 'ayer' ELSE '2024-01-01T00:00:00Z' END AS created_at, CASE WHEN status <> 'draft' AND nk <> 10 THEN '2024-02-01' END AS effective_from,
+ CASE WHEN nk = 11 THEN universe_id WHEN nk = 12 THEN 'uv_1999q1_r01' WHEN nk > 0 AND nk <> 6 THEN {UID.format(nk='nk - 1')} END AS supersedes,
+ CASE WHEN nk = 13 THEN 'etf' ELSE 'equity' END AS asset_type, cuenta + CASE WHEN nk = 14 THEN 1 ELSE 0 END AS ticker_count,
+ CASE WHEN nk = 15 THEN repeat('0', 64) ELSE huella_real END AS sha256, CASE WHEN nk = 16 THEN '' ELSE 'balanced_rank_v1' END AS selection_method FROM versiones1"""
+
+
 def with_tables(statement: str, extra: dict[str, str] | None = None) -> str:
     """``WITH`` plus every table expression the statement needs, in order."""
     known = {**TABLES, **(extra or {})}

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from valsieve import settings as S
+from valsieve.operators.discovery import DiscoveryConfig, discover, member_hash
+from valsieve.operators.universe import select_universe
 from valsieve.session import stage_table
 
 # A country and a market code for each of the 25 nations.
@@ -27,6 +29,7 @@ CAP_FLOOR = {"market_cap_eur_min": 20000.0}
 VOLUME_FLOOR = 20
 TODAY = "2002-12-31"
 DISCOVERY_ID = "disc_20240201T000000000000Z"
+CREATED_AT = "2024-02-01T00:00:00+00:00"
 OBSERVED = "snap_20240201T000000000000Z"
 
 
@@ -350,3 +353,50 @@ class Tables:
         pk = F.col("p_partkey")
         return self.raw("part").where(pk % 4 == 0).select(
             F.concat(F.lit("T"), pk.cast("string")).alias("ticker"))
+
+    # --- discovery catalog and registry --------------------------------------
+    def config(self) -> DiscoveryConfig:
+        """The full profile with a volume floor that fits these tables."""
+        return DiscoveryConfig(volumen_medio_minimo=VOLUME_FLOOR)
+
+    def catalog(self) -> DataFrame:
+        """The discovery catalog written once: at most one row per quota place."""
+        return stage_table(discover(self.quotes(), self.config(), CREATED_AT), "catalog")
+
+    def selected(self, catalog: DataFrame) -> DataFrame:
+        return select_universe(catalog, self.incumbents(), DISCOVERY_ID)
+
+    def regional_members(self, catalog: DataFrame) -> DataFrame:
+        """One universe per market: the catalog rows of that market."""
+        return catalog.join(F.broadcast(self.market_ids()), "region_descubrimiento").select(
+            "universe_id", "ticker", "region_ord", "sector_ord", "rank_bucket")
+
+    def market_ids(self) -> DataFrame:
+        nk = F.col("n_nationkey")
+        return self.raw("nation").where(nk < len(S.DISCOVERY_QUOTAS)).select(
+            nk.alias("nk"), pick(MARKETS, nk).alias("region_descubrimiento"), universe_id(nk).alias("universe_id"))
+
+    def versions(self, catalog: DataFrame) -> DataFrame:
+        """A registry with one version per market and one broken rule in many."""
+        nk = F.col("nk")
+        real = member_hash(catalog, ["region_descubrimiento"])
+        rows = self.market_ids().join(real, "region_descubrimiento", "left")
+        status = (
+            F.when(nk == 21, "active").when(nk == 8, "archived").when(nk % 3 == 0, "draft").otherwise("retired"))
+        return rows.select(
+            F.when(nk == 5, "universo-5").otherwise(F.col("universe_id")).alias("universe_id"),
+            F.when(nk.isin(6, 7), "oficiales/repetido.csv")
+            .otherwise(F.concat(F.lit("oficiales/"), "universe_id", F.lit(".csv"))).alias("path"),
+            status.alias("status"), F.when(nk == 9, "ayer").otherwise("2024-01-01T00:00:00Z").alias("created_at"),
+            F.when((status != "draft") & (nk != 10), "2024-02-01").alias("effective_from"),
+            F.when(nk == 11, universe_id(nk)).when(nk == 12, "uv_1999q1_r01")
+            .when((nk > 0) & (nk != 6), universe_id(nk - 1)).alias("supersedes"),
+            F.when(nk == 13, "etf").otherwise("equity").alias("asset_type"),
+            (F.coalesce("ticker_count", F.lit(0)) + F.when(nk == 14, 1).otherwise(0)).alias("ticker_count"),
+            F.when(nk == 15, F.repeat(F.lit("0"), 64)).otherwise(F.coalesce("sha256", F.lit(""))).alias("sha256"),
+            F.when(nk == 16, "").otherwise(S.SELECTION_PROFILE).alias("selection_method"), F.lit("").alias("notes"))
+
+
+def universe_id(nk) -> Column:
+    year = F.lit(2024) + F.floor(nk / 4)
+    return F.concat(F.lit("uv_"), year.cast("string"), F.lit("q"), (nk % 4 + 1).cast("string"), F.lit("_r01"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import asdict, dataclass, field
 import hashlib
 import json
+from collections.abc import Mapping, Sequence
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from valsieve import settings as S
 from valsieve.errors import DiscoveryError
 from valsieve.functions.cleaning import ticker_key
+from valsieve.session import fixed_rows
 
 ORDERS = ["region_ord", "sector_ord", "rank_bucket"]
 
@@ -61,7 +62,7 @@ def config_hash(config) -> str:
 
 def quota_violations(quotas: DataFrame, expected: Sequence[str]) -> DataFrame:
     """(region, problema) of a quota table against the regions of its profile."""
-    wanted = quotas.sparkSession.createDataFrame([(r,) for r in expected], "esperada string")
+    wanted = fixed_rows(quotas.sparkSession, [(r,) for r in expected], "esperada string")
     both = quotas.join(wanted, quotas["region"] == wanted["esperada"], "full")
     problem = (
         F.when(F.col("region").isNull(), "region_ausente").when(F.col("esperada").isNull(), "region_inesperada")
@@ -73,11 +74,11 @@ def quota_violations(quotas: DataFrame, expected: Sequence[str]) -> DataFrame:
 def quota_table(spark: SparkSession, quotas: Mapping[str, int], name: str = "cuota") -> DataFrame:
     """(region, quota, order): one row per configured region."""
     rows = [(region, int(quota), i) for i, (region, quota) in enumerate(quotas.items())]
-    return spark.createDataFrame(rows, f"region string, {name} int, region_ord int")
+    return fixed_rows(spark, rows, f"region string, {name} int, region_ord int")
 
 
 def sector_table(spark: SparkSession, sectors: Sequence[str]) -> DataFrame:
-    return spark.createDataFrame([(s, i) for i, s in enumerate(sectors)], "sector string, sector_ord int")
+    return fixed_rows(spark, [(s, i) for i, s in enumerate(sectors)], "sector string, sector_ord int")
 
 
 def prefilter(quotes: DataFrame, regions: Sequence[str] | None, categories: Sequence[str],
@@ -219,7 +220,7 @@ def asset_catalog(quotes: DataFrame, kind: str, regions: Sequence[str] | None =
     by_region = S.ASSET_KINDS[kind][0] if kind in S.ASSET_KINDS else True
     spark = quotes.sparkSession
     values = [(v, label, i) for i, (label, names) in enumerate(labels.items()) for v in names]
-    named = spark.createDataFrame(values, "category string, categoria string, sector_ord int")
+    named = fixed_rows(spark, values, "category string, categoria string, sector_ord int")
     rows = prefilter(quotes, regions, [v for v, _, _ in values], min_price, min_volume, kind, "category").join(
         F.broadcast(named), "category")
     if by_region:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from valsieve import settings as S
 from valsieve.functions import ratios as R
 from valsieve.functions.cleaning import nan_to_null
+from valsieve.session import fixed_rows
 
 SERIES = ["ticker", "statement", "basis", "campo"]
 BALANCE_FIELDS = ["total_debt", "cash", "equity"]
@@ -22,7 +23,7 @@ def concept_rows(spark, concepts) -> DataFrame:
              for k, names in concepts.items() for i, name in enumerate(names)]
     width = len(keyed[0]) - 2
     names = (["statement", "campo"] if width == 2 else ["campo"]) + ["concept", "prioridad"]
-    return spark.createDataFrame(keyed, ", ".join(f"{n} {'int' if n == 'prioridad' else 'string'}" for n in names))
+    return fixed_rows(spark, keyed, ", ".join(f"{n} {'int' if n == 'prioridad' else 'string'}" for n in names))
 
 
 def named_values(statements: DataFrame) -> DataFrame:

@@ -54,3 +54,24 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fixed_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small constant table (names and ``string``/``int`` types in ``schema``).
+
+    Built from SQL ``VALUES``, so Spark knows its exact size and broadcasts it.
+    """
+    columns = [part.split() for part in schema.split(",")]
+
+    def literal(value, kind):
+        if value is None:
+            return f"CAST(NULL AS {kind})"
+        if kind == "string":
+            return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return f"CAST({value} AS {kind})"
+
+    names = ", ".join(name for name, _ in columns)
+    if not rows:
+        return spark.sql("SELECT " + ", ".join(f"CAST(NULL AS {k}) AS {n}" for n, k in columns) + " LIMIT 0")
+    body = ", ".join("(" + ", ".join(literal(v, k) for v, (_, k) in zip(row, columns)) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS fixed({names})")
