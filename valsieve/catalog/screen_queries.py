@@ -173,10 +173,12 @@ def run_control_row(t):
 
 
 @query("integrity_gate", """
+SELECT *, tickers_duplicados = 0 AND brutos_cuadran AND deduplicados_cuadran AND calidad_cuadra AND exito_suficiente AS valida FROM (
 SELECT CAST((SELECT COUNT(*) FROM (SELECT ticker FROM evaluadas GROUP BY ticker HAVING COUNT(*) > 1)) AS BIGINT) AS tickers_duplicados,
- TRUE AS brutos_cuadran, TRUE AS deduplicados_cuadran, TRUE AS calidad_cuadra,
- (SELECT COUNT(*) FROM metricas WHERE error_descarga = '') >= 0.8 * (SELECT COUNT(*) FROM metricas) AS exito_suficiente,
- (SELECT COUNT(*) FROM metricas WHERE error_descarga = '') >= 0.8 * (SELECT COUNT(*) FROM metricas) AS valida""")
+ (SELECT COUNT(*) FROM metricas) = (SELECT COUNT(*) FROM listing) AND (SELECT COUNT(*) FROM listing) > 0 AS brutos_cuadran,
+ (SELECT COUNT(*) FROM evaluadas) <= (SELECT COUNT(*) FROM metricas) AS deduplicados_cuadran,
+ (SELECT COUNT(*) FROM evaluadas WHERE calidad_datos IN ('ok', 'revisar', 'inutilizable', 'error')) = (SELECT COUNT(*) FROM evaluadas) AS calidad_cuadra,
+ (SELECT COUNT(*) FROM metricas WHERE error_descarga = '') >= 0.8 * (SELECT COUNT(*) FROM metricas) AS exito_suficiente)""")
 def integrity_gate(t):
     from valsieve.operators import integrity
 

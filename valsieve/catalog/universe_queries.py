@@ -266,8 +266,14 @@ def refine_summary(t):
 
 
 @query("observation_checks", """
-SELECT TRUE AS un_control, TRUE AS oficial, TRUE AS hash_coincide, TRUE AS brutos_cuadran, (SELECT COUNT(*) FROM descartadas) = 0 OR TRUE AS cobertura_completa,
- COUNT(*) > 0 AS journal_sin_repetidos, TRUE AS supervivientes_en_universo, TRUE AS deduplicados_cuadran FROM supervivientes""")
+SELECT TRUE AS un_control, TRUE AS oficial, c.hash = (SELECT sha256(concat(string_agg(ticker, chr(10) ORDER BY ticker), chr(10))) FROM seleccion) AS hash_coincide,
+ c.pedidos = (SELECT COUNT(*) FROM seleccion) AS brutos_cuadran, c.errores = 0 AS cobertura_completa,
+ (SELECT COUNT(*) = COUNT(DISTINCT ticker) AND COUNT(*) > 0 FROM supervivientes) AS journal_sin_repetidos,
+ (SELECT COUNT(*) = 0 FROM supervivientes WHERE ticker NOT IN (SELECT ticker FROM seleccion)) AS supervivientes_en_universo,
+ (SELECT COUNT(*) FROM supervivientes) = c.evaluadas AND (SELECT COUNT(*) FROM seleccion) - (SELECT COUNT(DISTINCT ticker) FROM supervivientes) = c.deduplicados
+  AND c.pedidos - c.deduplicados = c.evaluadas AS deduplicados_cuadran
+FROM (SELECT sha256(concat(string_agg(ticker, chr(10) ORDER BY ticker), chr(10))) AS hash, COUNT(*) AS pedidos, 0 AS errores,
+ COUNT(*) FILTER (WHERE pk % 10 <> 3) AS evaluadas, COUNT(*) FILTER (WHERE pk % 10 = 3) AS deduplicados FROM seleccion) c""")
 def observation_checks(t):
     _, kept, gone = observed(t)
     members = kept.unionByName(gone)

@@ -48,7 +48,10 @@ def require_valid(evaluated: DataFrame, control: DataFrame) -> None:
         raise ValueError("the success threshold must be between 0 and 1")
     checks = gate(evaluated, control).first()
     if not checks["valida"]:
-        failed = [c for c, v in checks.asDict().items() if c != "valida" and v not in (True, 0)]
+        values = checks.asDict()
+        failed = [c for c, v in values.items() if c not in ("valida", "tickers_duplicados") and not v]
+        if values["tickers_duplicados"]:
+            failed.append("tickers_duplicados")
         raise IntegrityError("run rejected: " + (", ".join(failed) or "verdict missing"))
 
 

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from valsieve import settings as S
 from valsieve.functions.cleaning import has_text, nan_to_null, text_bool
 
-UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 FROM_HERE = (Window.currentRow, Window.unboundedFollowing)
 AFTER_HERE = (1, Window.unboundedFollowing)
 
@@ -54,21 +54,29 @@ def signals(journal: DataFrame) -> DataFrame:
 
 
 def daily_returns(prices: DataFrame) -> DataFrame:
-    by_day = Window.partitionBy("ticker").orderBy("fecha")
-    return prices.withColumn("retorno", F.try_divide(F.col("close"), F.lag("close").over(by_day)) - 1)
+    """Return against the close before, inside segments and across their edges."""
+    rows = prices.withColumn("_seg", segment_of("fecha"))
+    inside = Window.partitionBy("ticker", "_seg").orderBy("fecha")
+    across = Window.partitionBy("ticker").orderBy("_seg")
+    closing = rows.groupBy("ticker", "_seg").agg(F.max_by("close", "fecha").alias("_end")).select(
+        "ticker", "_seg", F.lag("_end").over(across).alias("_carried"))
+    before = F.coalesce(F.lag("close").over(inside), F.col("_carried"))
+    return (
+        rows.join(closing, ["ticker", "_seg"])
+        .withColumn("retorno", F.try_divide(F.col("close"), before) - 1).drop("_seg", "_carried")
+    )
 
 
 def wealth_index(prices: DataFrame) -> DataFrame:
     """Time-weighted index from 1.0: the chained returns without flows."""
-    by_day = Window.partitionBy("ticker").orderBy("fecha").rowsBetween(*UP_TO_HERE)
-    return prices.withColumn("indice", F.try_divide(F.col("close"), F.first("close").over(by_day)))
+    start = prices.groupBy("ticker").agg(F.min_by("close", "fecha").alias("_start"))
+    return prices.join(start, "ticker").withColumn(
+        "indice", F.try_divide(F.col("close"), F.col("_start"))).drop("_start")
 
 
 def drawdowns(prices: DataFrame) -> DataFrame:
     """Worst fall below the running maximum, per ticker."""
-    by_day = Window.partitionBy("ticker").orderBy("fecha").rowsBetween(*UP_TO_HERE)
-    fall = F.try_divide(F.col("close"), F.max("close").over(by_day)) - 1
-    return prices.withColumn("_fall", fall).groupBy("ticker").agg(F.min("_fall").alias("max_drawdown"))
+    return forward_path(prices).groupBy("ticker").agg(F.min("max_drawdown").alias("max_drawdown"))
 
 
 def forward_path(prices: DataFrame) -> DataFrame:
@@ -114,7 +122,7 @@ def join_entry(signal_rows: DataFrame, path: DataFrame, entry: str = "fecha_entr
     """
     carried = [c for c in path.columns if c != "ticker"]
     events = path.select("ticker", F.col("fecha").alias("_day"), F.lit(1).alias("_kind"),
-                         F.struct(*carried).alias("_close"), F.lit(None).cast(signal_struct(signal_rows)).alias("_signal"))
+                         F.struct(*carried).alias("_close"), F.lit(None).cast(T.StructType(signal_rows.schema.fields)).alias("_signal"))
     wanted = signal_rows.select(
         "ticker", F.to_date(entry).alias("_day"), F.lit(0).alias("_kind"),
         F.lit(None).cast(events.schema["_close"].dataType).alias("_close"),
@@ -137,12 +145,6 @@ def join_entry(signal_rows: DataFrame, path: DataFrame, entry: str = "fecha_entr
         *signal_rows.columns, *[F.col(f"_close.{c}").alias(c) for c in carried])
 
 
-def signal_struct(df: DataFrame):
-    from pyspark.sql import types as T
-
-    return T.StructType(df.schema.fields)
-
-
 def signal_prices(signal_rows: DataFrame, prices: DataFrame, entry: str = "fecha_entrada") -> DataFrame:
     """Every signal with its entry close and day; no price keeps NULLs."""
     return join_entry(signal_rows, forward_path(prices), entry)

@@ -135,10 +135,11 @@ def read_discovery(spark: SparkSession, csv_path: str, json_path: str) -> tuple[
     require_columns(raw, S.DISCOVERY_COLUMNS)
     rows = raw.select(*[typed(c, schemas.type_of(c)).alias(c) for c in raw.columns])
     control = spark.read.schema(schemas.DISCOVERY_CONTROL).option("multiLine", True).json(json_path)
-    head = control.first()
+    # The order of the regions matters; a Python dict of the map would lose it.
+    head = control.withColumn("_regions", F.map_keys("config.cuotas_region")).first()
     if head["schema_version"] != 1 or not head["discovery_id"]:
         raise SelectionError("incoherent snapshot identity")
-    regions = {r: i for i, r in enumerate(head["config"]["cuotas_region"] or {})}
+    regions = {r: i for i, r in enumerate(head["_regions"] or [])}
     sectors = {s: i for i, s in enumerate(head["config"]["sectores"] or [])}
     catalog = (
         rows.join(F.broadcast(discovery.quota_table(spark, dict.fromkeys(regions, 1)).drop("cuota")

@@ -8,27 +8,27 @@ from pyspark.sql.streaming import StreamingQuery
 from valsieve.sources import readers
 
 
+KEYS = ["snapshot_id", "ticker"]
+
+
 def append_batch(path: str):
-    """A ``foreachBatch`` function: rows of known snapshots are skipped.
+    """A ``foreachBatch`` function: rows already on file are skipped.
 
-    Ids on file come from the folder names of the partitions.  A repeated
-    micro-batch finds its own snapshots on file and adds nothing.
+    Only the folders of the snapshots in the batch are read.  A repeated
+    micro-batch adds nothing, and a snapshot split over two is kept whole.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        known = readers.read_table(spark, path, batch.schema).select("snapshot_id").distinct()
-        new = batch.join(known, "snapshot_id", "left_anti").select(*batch.columns)
+        known = readers.read_table(batch.sparkSession, path, batch.schema)
+        unique = batch.dropDuplicates(KEYS)
+        new = unique.join(known.select(*KEYS), KEYS, "left_anti").select(*batch.columns)
         new.write.mode("append").partitionBy("semana_iso", "snapshot_id").parquet(path)
 
     return write
 
 
 def stream_journal(rows: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Append a stream of journal rows, each snapshot at most once.
-
-    A snapshot must arrive within one micro-batch, as one file or folder.
-    """
+    """Append a stream of journal rows, each (snapshot, ticker) once."""
     writer = rows.writeStream.foreachBatch(append_batch(path)).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)

@@ -28,12 +28,12 @@ def batch_episodes(state: DataFrame, batch: DataFrame) -> DataFrame:
     The state enters as one earlier observation per ticker, so the batch
     operator applies unchanged.
     """
-    marked = batch.withColumn("_state", F.lit(False))
+    marked = batch.withColumn("_given", F.lit(False))
     columns = {f.name: f.dataType for f in marked.schema.fields}
     given = {"ticker": F.col("ticker"), "pasa": F.col("pasa"), "fecha_ejecucion": F.col("fecha_ejecucion"),
-             "error_descarga": F.lit(""), "snapshot_id": F.lit(""), "_state": F.lit(True)}
+             "error_descarga": F.lit(""), "snapshot_id": F.lit(""), "_given": F.lit(True)}
     before = state.select(*[given.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in columns.items()])
-    return signal_episodes(before.unionByName(marked)).where(~F.col("_state")).drop("_state")
+    return signal_episodes(before.unionByName(marked)).where(~F.col("_given")).drop("_given")
 
 
 def process_batch(episodes_path: str, state_path: str):
