@@ -235,7 +235,7 @@ def test_life_cycle(spark, tmp_path):
     (tmp_path / "tampered.json").write_text(json.dumps({**meta, "catalog_sha256": "0" * 64}))
     with pytest.raises(SelectionError, match="catalog hash"):
         readers.read_discovery(spark, csv, str(tmp_path / "tampered.json"))
-    incumbents = catalog.where(F.col("rank_bucket") % 5 == 0).select("ticker")
+    incumbents = catalog.where("rank_bucket % 5 = 0 and region_descubrimiento = 'us' and sector_descubrimiento = 'Energy'").select("ticker")
     draft = lifecycle.draft_from_catalog(catalog, incumbents, "uv_2026q3_r02", "uv_2026q3_r01", "disc_x", "2026-01-02")
     summary, made = draft.summary.first(), draft.version.first()
     assert summary["seleccion_base"] == sum(S.SELECTION_QUOTAS.values()) * 9 and summary["tamano_valido"]

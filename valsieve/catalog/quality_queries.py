@@ -62,7 +62,7 @@ def statement_scan(t):
 
 @query("latest_value", "SELECT ticker, statement, basis, campo, ROUND(ultimo, 6) AS ultimo FROM valores")
 def latest_value(t):
-    return statements.series_values(t.statements()).select("ticker", "statement", "basis", "campo", r6("ultimo"))
+    return statements.series_values(t.stored_statements()).select("ticker", "statement", "basis", "campo", r6("ultimo"))
 
 
 @query("latest_and_previous", "SELECT ticker, campo, ROUND(ultimo, 6) AS ultimo, ROUND(anterior, 6) AS anterior FROM valores WHERE statement = 'balance'")
@@ -133,7 +133,7 @@ GROUP BY v.ticker, b.tipo_periodo""", {
     "historia": HISTORY, "tasas": TAX,
     "fechas": "SELECT ticker, statement, basis, MAX(period_end) AS fecha FROM statements GROUP BY ALL"})
 def normalize_fundamentals(t):
-    out = statements.normalize(t.statements())
+    out = statements.normalize(t.stored_statements())
     return out.select(
         "ticker", "tipo_periodo", *[r6(f) for f in NORMAL_FIELDS], *[r6(f"{f}_inicio") for f in statements.BALANCE_FIELDS],
         r6("anios_historico"), r6("tasa_impositiva"), F.col("fecha_resultados").cast("string").alias("fecha_resultados"),
@@ -167,7 +167,7 @@ SELECT d.cik, concat('Filer ', CAST(d.cik AS STRING)) AS nombre, COALESCE({fact_
  printf('https://data.sec.gov/api/xbrl/companyfacts/CIK%010d.json', d.cik) AS url_fuente
 FROM (SELECT DISTINCT pk AS cik FROM yr) d LEFT JOIN hecho_ultimo h ON h.cik = d.cik GROUP BY d.cik""")
 def normalize_facts(t):
-    out = facts.normalize(facts.parse_documents(t.filings()))
+    out = facts.normalize(facts.parse_documents(t.stored_filings()))
     names = F.regexp_replace(F.regexp_replace("incidencias_datos", "^conceptos SEC ausentes: ", ""), ", ", ",")
     return out.select(
         "cik", "nombre", "divisa_financiera", *[r6(f) for f in ("ingresos", "net_income", "ebit", "total_debt", "cash", "equity")],

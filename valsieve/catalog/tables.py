@@ -140,9 +140,9 @@ class Tables:
         """
         return stage_table(self.fundamentals(), "fundamentals")
 
-    def secondary(self) -> DataFrame:
+    def secondary(self, fundamentals: DataFrame | None = None) -> DataFrame:
         """A second, independent source for the same listings."""
-        f = self.fundamentals()
+        f = self.fundamentals() if fundamentals is None else fundamentals
         pk = F.substring("ticker", 2, 20).cast("bigint")
         factor = 1 + (pk % 7) * 0.05
         concepts = F.create_map(
@@ -246,6 +246,14 @@ class Tables:
             F.create_map(F.lit("us-gaap"), gaap, F.lit("ifrs-full"), ifrs).alias("facts"))
         return docs.select(pk.alias("cik"), F.to_json(body).alias("document"))
 
+    def stored_filings(self) -> DataFrame:
+        """The documents written once, as they would be stored."""
+        return stage_table(self.filings(), "filings")
+
+    def stored_statements(self) -> DataFrame:
+        """The statement rows written once, as they would be stored."""
+        return stage_table(self.statements(), "statements")
+
     def filer_ids(self) -> DataFrame:
         pk = F.col("p_partkey")
         return self.raw("part").where(pk % 10 != 4).select(

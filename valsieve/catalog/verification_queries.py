@@ -35,12 +35,14 @@ def join_verification(t):
 SELECT ticker, metrica, numerico AS estado, ROUND(CASE WHEN numerico IN ('verificado', 'advertencia', 'discrepancia_material') THEN
  CASE WHEN v1 = 0 THEN 0e0 ELSE abs(v2 - v1) / abs(v1) END END, 6) AS diferencia_pct FROM verificadas""")
 def verify_components(t):
-    rows = verification.compare_components(t.observations(), t.secondary())
+    primary = t.observations()
+    rows = verification.compare_components(primary, t.secondary(primary))
     return rows.select(F.col("p_ticker").alias("ticker"), "metrica", "estado", F.round("diferencia_pct", 6).alias("diferencia_pct"))
 
 
 def verified(t):
-    return verification.verify(t.observations(), t.secondary(), OBSERVED, MOMENT)
+    primary = t.observations()
+    return verification.verify(primary, t.secondary(primary), OBSERVED, MOMENT)
 
 
 @query("semantic_override", f"""

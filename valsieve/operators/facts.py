@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from valsieve import settings as S
@@ -49,23 +49,24 @@ def field_facts(facts: DataFrame) -> DataFrame:
     return joined.where(F.col("instante") == F.col("campo").isin(S.INSTANT_FIELDS))
 
 
-def newest_fact(keys):
-    """Aggregates for the newest fact: by end, then filing date, then priority."""
-    order = F.struct("end", F.coalesce(F.col("filed"), F.lit("")), -F.col("prioridad"))
-    return F.max_by(F.struct("val", "end", "filed", "unidad", "concept"), order)
-
-
 def latest_facts(facts: DataFrame) -> DataFrame:
     """Newest fact per filer and field, in the unit of the filer's revenue.
 
-    A filer without revenue keeps facts of any unit.
+    Newest means by end, then filing date, then priority.  A filer without
+    revenue keeps facts of any unit.  Facts are first reduced to one per
+    filer, field and unit (partly before the shuffle); the unit is chosen
+    among that handful of rows.
     """
-    rows = field_facts(facts)
-    unit = rows.where(F.col("campo") == "ingresos").groupBy("cik").agg(newest_fact("cik")["unidad"].alias("_unit"))
+    order = F.struct("end", F.coalesce(F.col("filed"), F.lit("")).alias("filed"), (-F.col("prioridad")).alias("p"))
+    newest = F.max(F.struct(order.alias("o"), "val", "concept"))
+    per_unit = field_facts(facts).groupBy("cik", "campo", "unidad").agg(newest.alias("f"))
+    filer = Window.partitionBy("cik")
+    revenue = F.when(F.col("campo") == "ingresos", F.struct("f", "unidad"))
     same = F.col("_unit").isNull() | (F.col("unidad") == F.col("_unit"))
     return (
-        rows.join(unit, "cik", "left").where(same)
-        .groupBy("cik", "campo").agg(newest_fact("cik").alias("f")).select("cik", "campo", "f.*")
+        per_unit.withColumn("_unit", F.max(revenue).over(filer)["unidad"]).where(same)
+        .groupBy("cik", "campo").agg(F.max(F.struct("f", "unidad")).alias("b"))
+        .select("cik", "campo", "b.f.val", "b.f.o.end", "b.f.o.filed", "b.unidad", "b.f.concept")
     )
 
 

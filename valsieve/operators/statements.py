@@ -5,6 +5,8 @@ Input: (ticker, statement, basis, concept, period_end, value).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,28 +28,37 @@ def concept_rows(spark, concepts) -> DataFrame:
     return fixed_rows(spark, keyed, ", ".join(f"{n} {'int' if n == 'prioridad' else 'string'}" for n in names))
 
 
-def named_values(statements: DataFrame) -> DataFrame:
-    """Non-missing values with the field and priority of their concept."""
+def known_concepts(statements: DataFrame) -> DataFrame:
+    """The concept table with a small integer per line item."""
     known = concept_rows(statements.sparkSession, S.STATEMENT_CONCEPTS)
+    return known.withColumn("cid", F.hash("statement", "concept", "campo"))
+
+
+def named_values(statements: DataFrame) -> DataFrame:
+    """Non-missing values of the wanted line items, keyed by a small integer."""
+    known = known_concepts(statements)
     return (
         statements.withColumn("value", nan_to_null("value")).where(F.col("value").isNotNull())
         .join(F.broadcast(known), ["statement", "concept"])
+        .select("ticker", "basis", "cid", "campo", "period_end", "value")
     )
 
 
-def series_values(statements: DataFrame) -> DataFrame:
+def series_values(statements: DataFrame, with_previous: Sequence[str] | None = None) -> DataFrame:
     """Per (ticker, statement, basis, field): newest, previous, oldest value.
 
     The concept is chosen for the whole series: the best one with any value.
     Rows are reduced per concept first (partial aggregation, and at most two
     rows kept per concept before the shuffle for the previous value), then the
-    best concept is picked among a handful of rows.
+    best concept is picked among a handful of rows.  ``with_previous`` limits
+    the fields whose previous value is wanted.
     """
     values = named_values(statements)
-    concept = [*SERIES, "prioridad"]
+    concept = ["ticker", "basis", "cid"]
     newest = Window.partitionBy(*concept).orderBy(F.desc("period_end"))
+    several = values if with_previous is None else values.where(F.col("campo").isin(list(with_previous)))
     previous = (
-        values.withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= 2)
+        several.withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= 2)
         .groupBy(*concept).agg(F.max(F.when(F.col("_k") == 2, F.col("value"))).alias("anterior"))
     )
     totals = values.groupBy(*concept).agg(
@@ -55,7 +66,8 @@ def series_values(statements: DataFrame) -> DataFrame:
         F.min("period_end").alias("desde"), F.max("period_end").alias("hasta"), F.count(F.lit(1)).alias("n"))
     chosen = F.struct("ultimo", "anterior", "primero", "desde", "hasta", "n")
     return (
-        totals.join(previous, concept)
+        totals.join(previous, concept, "left")
+        .join(F.broadcast(known_concepts(statements).drop("concept")), "cid")
         .groupBy(*SERIES).agg(F.min_by(chosen, "prioridad").alias("s"))
         .select(*SERIES, "s.*")
     )
@@ -93,7 +105,7 @@ def normalize(statements: DataFrame) -> DataFrame:
     basis; the pivot is a fixed list of fields.
     """
     basis = period_basis(statements)
-    series = series_values(statements)
+    series = series_values(statements, BALANCE_FIELDS)
     dates = latest_statement_dates(statements)
 
     chosen = (F.col("statement") == "balance") | (F.col("basis") == F.col("tipo_periodo"))
