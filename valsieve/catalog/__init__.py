@@ -34,7 +34,7 @@ def query(name: str, sql: str | None = None, tables: dict[str, str] | None = Non
 def load() -> None:
     """Import the modules that register queries."""
     from valsieve.catalog import (  # noqa: F401
-        journal_queries, metric_queries, output_queries, quality_queries, screen_queries, universe_queries,
+        journal_queries, metric_queries, output_queries, quality_queries, screen_queries, source_queries, universe_queries,
         verification_queries,
 
     )

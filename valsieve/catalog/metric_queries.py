@@ -187,6 +187,15 @@ def safe_text(t):
         "ticker", cleaning.blank_to_empty(name).alias("nombre"), cleaning.safe_date(date).cast("string").alias("fecha"))
 
 
+@query("safe_date", """
+SELECT ticker, CAST(fr AS STRING) AS resultados, CAST(fb AS STRING) AS balance, fb IS NULL AS sin_balance FROM limpia""")
+def safe_date(t):
+    balance = cleaning.safe_date("fecha_balance")
+    return t.fundamentals().select(
+        "ticker", cleaning.safe_date("fecha_resultados").cast("string").alias("resultados"),
+        balance.cast("string").alias("balance"), balance.isNull().alias("sin_balance"))
+
+
 @query("date_gap_days", """
 SELECT ticker, CAST(abs(date_diff('day', fr, ff)) AS BIGINT) AS desfase, abs(date_diff('day', fr, ff)) > 45 AS desalineados FROM limpia""")
 def date_gap_days(t):

@@ -44,7 +44,7 @@ def explode_facts(filers: DataFrame) -> DataFrame:
 
 def field_facts(facts: DataFrame) -> DataFrame:
     """Facts of the wanted concepts, instants only for balance fields."""
-    known = concept_rows(facts.sparkSession, S.FACT_CONCEPTS)
+    known = concept_rows(facts.sparkSession, S.FACT_CONCEPTS).drop("cid")
     joined = facts.join(F.broadcast(known), "concept")
     return joined.where(F.col("instante") == F.col("campo").isin(S.INSTANT_FIELDS))
 

@@ -20,18 +20,16 @@ BALANCE_FIELDS = ["total_debt", "cash", "equity"]
 
 
 def concept_rows(spark, concepts) -> DataFrame:
-    """(keys..., concept, prioridad) from a fixed dictionary: a few dozen rows."""
+    """(keys..., concept, prioridad, cid) from a fixed dictionary: a few dozen rows."""
     keyed = [(*((k,) if isinstance(k, str) else k), name, i)
              for k, names in concepts.items() for i, name in enumerate(names)]
-    width = len(keyed[0]) - 2
-    names = (["statement", "campo"] if width == 2 else ["campo"]) + ["concept", "prioridad"]
-    return fixed_rows(spark, keyed, ", ".join(f"{n} {'int' if n == 'prioridad' else 'string'}" for n in names))
+    numbered = [(*row, cid) for cid, row in enumerate(keyed)]
+    keys = "statement string, campo string" if len(keyed[0]) == 4 else "campo string"
+    return fixed_rows(spark, numbered, f"{keys}, concept string, prioridad int, cid int")
 
 
 def known_concepts(statements: DataFrame) -> DataFrame:
-    """The concept table with a small integer per line item."""
-    known = concept_rows(statements.sparkSession, S.STATEMENT_CONCEPTS)
-    return known.withColumn("cid", F.hash("statement", "concept", "campo"))
+    return concept_rows(statements.sparkSession, S.STATEMENT_CONCEPTS)
 
 
 def named_values(statements: DataFrame) -> DataFrame:

@@ -38,10 +38,14 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8,
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) a new temporary folder is used.
+    Only where that is unset in local mode (tests, a laptop) a new temporary
+    folder is used; on a cluster a folder of one machine would be lost to the
+    others, so the setting is required there.
     """
     named = spark.conf.get("spark.checkpoint.dir", "")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="valsieve-stage-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
