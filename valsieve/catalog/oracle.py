@@ -303,7 +303,7 @@ SELECT concat('U', CAST(user_id AS STRING)) AS ticker, CAST(date_trunc('week', t
   CAST(ts AS DATE) AS fecha_calculo, CASE WHEN event_type <> 'error' THEN value / 50 - 1 END AS retorno_total, event_id AS orden FROM events""",
     "fx": """
 SELECT CAST(ts AS DATE) AS fecha, (['USD', 'GBP', 'JPY'])[user_id % 3 + 1] AS divisa,
-  CAST(MAX(CAST(ROUND(value * 100) AS BIGINT)) AS DOUBLE) / 100 / 1000 + 0.5e0 AS close FROM events WHERE event_type <> 'error' GROUP BY ALL""",
+  CAST(MAX(CAST(ROUND(value * 100) AS BIGINT)) // 100 AS DOUBLE) / 1000 + 0.5e0 AS close FROM events WHERE event_type <> 'error' GROUP BY ALL""",
     # statements and filings
     "statements": statement_rows(),
     "conceptos": values_table(concept_priority(S.STATEMENT_CONCEPTS), "statement, campo, concept, prioridad"),

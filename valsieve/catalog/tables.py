@@ -324,7 +324,7 @@ class Tables:
         return (
             self.raw("events").where(F.col("event_type") != "error")
             .groupBy(dia.alias("fecha"), pick(["USD", "GBP", "JPY"], F.col("user_id") % 3).alias("divisa"))
-            .agg((F.max(cents("value")) / 100 / 1000 + 0.5).alias("close"))
+            .agg((F.floor(F.max(cents("value")) / 100) / 1000 + 0.5).alias("close"))
         )
 
     # --- quotes, discovery, universes --------------------------------------

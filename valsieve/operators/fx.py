@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from valsieve.functions.cleaning import nan_to_null
 from valsieve.functions.ratios import convert_to_eur
+from valsieve.session import sized
 
 WINDOW_DAYS = 5
 
@@ -25,9 +26,10 @@ def latest_rates(rates: DataFrame, as_of: str, days: int = WINDOW_DAYS) -> DataF
 def to_eur(df: DataFrame, rates: DataFrame, currency: str, amount: str, out: str) -> DataFrame:
     """EUR is 1; a currency without a recent rate yields NULL.
 
-    There is one rate row per currency, so Spark broadcasts it by size.
+    There is one rate row per currency; the rates are written first, so Spark
+    knows that and does not shuffle the amounts by currency.
     """
-    known = rates.select(F.col("divisa").alias("_fx"), F.col("tasa").alias("_rate"))
+    known = sized(rates.select(F.col("divisa").alias("_fx"), F.col("tasa").alias("_rate")), "rates")
     rate = F.when(F.upper(F.col(currency)) == "EUR", F.lit(1.0)).otherwise(F.col("_rate"))
     return (
         df.join(known, F.upper(F.col(currency)) == F.col("_fx"), "left")

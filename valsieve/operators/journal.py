@@ -9,6 +9,7 @@ from valsieve import settings as S
 from valsieve.errors import IntegrityError
 from valsieve.functions.cleaning import nan_to_null, text_bool
 from valsieve.functions.dates import iso_week, snapshot_id
+from valsieve.session import sized
 
 
 def audit_columns(df: DataFrame, moment, identity=None) -> DataFrame:
@@ -48,8 +49,13 @@ def effective_snapshots(journal: DataFrame, runs: DataFrame, week: str = "semana
 
 
 def effective_journal(journal: DataFrame, runs: DataFrame, week: str = "semana_iso") -> DataFrame:
-    """Journal rows of the effective snapshots (a handful of ids)."""
-    return journal.join(effective_snapshots(journal, runs, week).select("snapshot_id"), "snapshot_id", "left_semi")
+    """Journal rows of the effective snapshots.
+
+    The ids, one per run on file, are written first: the journal is then
+    filtered by a broadcast instead of being shuffled by snapshot.
+    """
+    ids = sized(effective_snapshots(journal, runs, week).select("snapshot_id"), "effective")
+    return journal.join(ids, "snapshot_id", "left_semi")
 
 
 def latest_snapshot(journal: DataFrame) -> DataFrame:

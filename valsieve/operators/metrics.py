@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from valsieve import settings as S
 from valsieve.functions import ratios as R
 from valsieve.operators.ordering import grouped_median, value_counts
+from valsieve.session import sized
 
 TEXT_DEFAULTS = {"calidad_datos": "ok"}
 
@@ -80,16 +81,23 @@ def with_peer_medians(metrics: DataFrame, min_peers: int = S.THRESHOLDS["min_emp
     """Peer P/E median by sector and region, or by sector when peers are few.
 
     ``source`` may name a narrower or already written copy of ``metrics`` to
-    count from; by default the metrics themselves are read again.
+    count from; by default the metrics themselves are read again.  The medians
+    (a row per sector and region) are written before the join, so the metrics
+    are not shuffled by sector when the medians are small enough to broadcast.
     """
     counts = pe_counts(metrics if source is None else source)
+    peers = sized(
+        sector_region_medians(counts).toDF("sector", "region", "mediana", "n").unionByName(
+            sector_medians(counts).toDF("sector", "mediana", "n").withColumn("region", F.lit(None).cast("string"))),
+        "peers")
+    regional = peers.where(F.col("region").isNotNull()).toDF("sector", "region", "med_regional", "n_regional")
+    overall = peers.where(F.col("region").isNull()).drop("region").toDF("sector", "med_global", "n_global")
     known = F.col("sector").isNotNull()
     n_regional = F.when(known, F.coalesce(F.col("n_regional"), F.lit(0)))
     n_global = F.when(known, F.coalesce(F.col("n_global"), F.lit(0)))
     enough = F.coalesce(n_regional >= min_peers, F.lit(False))
     joined = (
-        metrics.join(sector_region_medians(counts), ["sector", "region"], "left")
-        .join(sector_medians(counts), "sector", "left")
+        metrics.join(regional, ["sector", "region"], "left").join(overall, "sector", "left")
     )
     return joined.withColumns({
         "per_mediana_sector": F.when(enough, F.col("med_regional")).otherwise(F.col("med_global")),

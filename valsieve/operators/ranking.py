@@ -21,12 +21,15 @@ def magic_rank(df: DataFrame) -> DataFrame:
 def rank_candidates(evaluated: DataFrame, ordered: bool = True) -> DataFrame:
     """Rank passers only; rejected rows keep NULL ranks.
 
-    Ranks are built on a narrow copy of the passers and joined back by ticker,
-    which is unique after the listings are collapsed.
+    Ranks are built on a narrow copy of the passers and joined back to the
+    passers by ticker, which is unique after the listings are collapsed.  The
+    rejected rows, nearly all of them, take no part in any shuffle here.
     """
-    passers = evaluated.where(F.col("pasa")).select("ticker", *RANK_OF)
-    ranked = magic_rank(passers).select("ticker", *RANK_OF.values(), "puntuacion")
-    out = evaluated.join(ranked, "ticker", "left")
+    passers = evaluated.where(F.col("pasa"))
+    ranked = magic_rank(passers.select("ticker", *RANK_OF)).select("ticker", *RANK_OF.values(), "puntuacion")
+    none = F.lit(None).cast("double")
+    rejected = evaluated.where(~F.col("pasa")).withColumns({c: none for c in [*RANK_OF.values(), "puntuacion"]})
+    out = passers.join(ranked, "ticker").select(*rejected.columns).unionByName(rejected)
     if ordered:
         out = out.orderBy(F.desc("pasa"), F.asc_nulls_last("puntuacion"), "ticker")
     return out

@@ -27,9 +27,10 @@ def signal_episodes(journal: DataFrame) -> DataFrame:
     """First row of every run of passes per ticker.
 
     Rows with a download error keep the state; an absent ticker too.  Inside a
-    (ticker, month) segment the previous verdict is a plain ``lag``.  Only the
-    first row of each segment and the clear entries go on to a second window
-    by ticker, where the last verdict of the segment before is carried over.
+    (ticker, month) segment the previous verdict is a plain ``lag``.  In a
+    second window by ticker, only the first rows of the segments meet, and each
+    gets the last verdict of the segment before; entries that are already clear
+    keep to their own segment there.
     """
     valid = journal.where(~has_text("error_descarga")).withColumns({
         "_pass": text_bool("pasa", S.TRUE_WORDS_TRACKING), "_seg": segment_of("fecha_ejecucion")})
@@ -39,7 +40,8 @@ def signal_episodes(journal: DataFrame) -> DataFrame:
         valid.withColumns({"_before": F.lag("_pass").over(inside), "_last": F.last("_pass").over(whole)})
         .where(F.col("_before").isNull() | (F.col("_pass") & ~F.col("_before")))
     )
-    across = Window.partitionBy("ticker").orderBy("fecha_ejecucion", "snapshot_id")
+    own_segment = F.when(F.col("_before").isNotNull(), F.col("_seg"))
+    across = Window.partitionBy("ticker", own_segment).orderBy("fecha_ejecucion", "snapshot_id")
     state = F.coalesce(F.col("_before"), F.lag("_last").over(across), F.lit(False))
     return (
         edges.withColumn("_state", state).where(F.col("_pass") & ~F.col("_state"))
@@ -116,32 +118,26 @@ def join_entry(signal_rows: DataFrame, path: DataFrame, entry: str = "fecha_entr
     """Attach to every signal the first close on or after its entry day.
 
     A forward as-of join without a range join: signals and closes of a ticker
-    are put in one ordered stream, and each signal takes the next close.  The
-    next close is first looked for inside the month, then among the first
-    closes of the later months.  Signals without any later close are kept.
+    are put in one stream ordered by day, and each signal takes the next close
+    of its month.  Where the month has none, it is the first close of the next
+    month that has one; that is looked up once per (ticker, month).  Signals
+    without any later close are kept.
     """
     carried = [c for c in path.columns if c != "ticker"]
-    events = path.select("ticker", F.col("fecha").alias("_day"), F.lit(1).alias("_kind"),
-                         F.struct(*carried).alias("_close"), F.lit(None).cast(T.StructType(signal_rows.schema.fields)).alias("_signal"))
-    wanted = signal_rows.select(
-        "ticker", F.to_date(entry).alias("_day"), F.lit(0).alias("_kind"),
-        F.lit(None).cast(events.schema["_close"].dataType).alias("_close"),
-        F.struct(*signal_rows.columns).alias("_signal"))
-    stream = events.unionByName(wanted).withColumn("_seg", segment_of("_day"))
-    in_segment = Window.partitionBy("ticker", "_seg").orderBy("_day", "_kind").rowsBetween(*FROM_HERE)
-    local = stream.withColumn("_next", F.first("_close", ignorenulls=True).over(in_segment))
-    firsts = events.withColumn("_seg", segment_of("_day")).groupBy("ticker", "_seg").agg(
-        F.min_by("_close", "_day").alias("_first"))
-    pending = local.where(F.col("_kind") == 0)
-    across = Window.partitionBy("ticker").orderBy("_seg", "_kind").rowsBetween(*FROM_HERE)
-    later = firsts.select("ticker", "_seg", F.lit(0).alias("_kind"), F.col("_first").alias("_close"),
-                          F.lit(None).cast(local.schema["_signal"].dataType).alias("_signal"),
-                          F.lit(None).cast(local.schema["_next"].dataType).alias("_next"))
-    asks = pending.select("ticker", "_seg", F.lit(1).alias("_kind"),
-                          F.lit(None).cast(local.schema["_close"].dataType).alias("_close"), "_signal", "_next")
-    found = later.unionByName(asks).withColumn("_after", F.first("_close", ignorenulls=True).over(across))
-    best = F.coalesce(F.col("_next"), F.col("_after"))
-    return found.where(F.col("_kind") == 1).select("_signal.*", best.alias("_close")).select(
+    closes = path.select("ticker", segment_of("fecha").alias("_seg"), F.col("fecha").alias("_day"), F.struct(*carried).alias("_close"), F.lit(1).alias("_kind"))
+    close_type, signal_type = closes.schema["_close"].dataType, T.StructType(signal_rows.schema.fields)
+    asked = signal_rows.select(
+        "ticker", segment_of(F.to_date(entry)).alias("_seg"), F.to_date(entry).alias("_day"),
+        F.lit(None).cast(close_type).alias("_close"), F.lit(0).alias("_kind"), F.struct(*signal_rows.columns).alias("_signal"))
+    stream = asked.unionByName(closes.withColumn("_signal", F.lit(None).cast(signal_type)))
+    in_month = Window.partitionBy("ticker", "_seg").orderBy("_day", "_kind").rowsBetween(*FROM_HERE)
+    local = stream.withColumn("_next", F.first("_close", ignorenulls=True).over(in_month)).where(F.col("_kind") == 0)
+    # One row per (ticker, month): its first close, or NULL where only signals are.
+    months = stream.groupBy("ticker", "_seg").agg(F.min_by("_close", F.when(F.col("_close").isNotNull(), F.col("_day"))).alias("_first"))
+    later = Window.partitionBy("ticker").orderBy("_seg").rowsBetween(*AFTER_HERE)
+    after = months.select("ticker", "_seg", F.first("_first", ignorenulls=True).over(later).alias("_after"))
+    best = F.coalesce("_next", "_after")
+    return local.join(after, ["ticker", "_seg"], "left").select("_signal.*", best.alias("_close")).select(
         *signal_rows.columns, *[F.col(f"_close.{c}").alias(c) for c in carried])
 
 

@@ -63,6 +63,17 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, name: str) -> DataFrame:
+    """A reduced table written once, so that Spark knows its real size.
+
+    A join then broadcasts it when it is below
+    ``spark.sql.autoBroadcastJoinThreshold`` and sort-merges otherwise.
+    Without this the planner only sees the size of the scans above it and may
+    shuffle the large side first.
+    """
+    return stage_table(df, name)
+
+
 def fixed_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small constant table (names and ``string``/``int`` types in ``schema``).
 
