@@ -93,7 +93,7 @@ def official_signals(t):
 SELECT ticker, CAST(entrada AS STRING) AS fecha_entrada, CAST(MIN(fecha) AS STRING) AS fecha_precio, ROUND(MIN_BY(close, fecha), 6) AS precio,
  COUNT(close) AS observaciones FROM senal_precio GROUP BY ticker, entrada""")
 def signal_price_join(t):
-    rows = signals.signal_prices(official_signals(t), t.prices())
+    rows = signals.signal_prices(official_signals(t), t.stored_prices())
     return rows.select("ticker", text("fecha_entrada"), F.col("fecha").cast("string").alias("fecha_precio"),
                        r6("precio", "close"), F.coalesce("observaciones", F.lit(0)).alias("observaciones"))
 
@@ -106,7 +106,7 @@ SELECT ticker, CAST(entrada AS STRING) AS fecha_entrada, ROUND(CASE WHEN COUNT(c
  CAST(CASE WHEN COUNT(close) >= 2 THEN date_diff('day', MIN(fecha), MAX(fecha)) END AS INT) AS dias_en_seguimiento
 FROM senal_precio GROUP BY ticker, entrada""")
 def signal_performance(t):
-    rows = signals.signal_performance(official_signals(t), t.prices())
+    rows = signals.signal_performance(official_signals(t), t.stored_prices())
     return rows.select("ticker", text("fecha_entrada"), r6("precio_entrada"), r6("precio_actual"),
                        r6("retorno_total"), r6("max_drawdown"), "dias_en_seguimiento")
 
@@ -114,7 +114,7 @@ def signal_performance(t):
 @query("daily_returns", """
 SELECT ticker, CAST(fecha AS STRING) AS fecha, ROUND(close / LAG(close) OVER (PARTITION BY ticker ORDER BY fecha) - 1, 6) AS retorno FROM prices""")
 def daily_returns(t):
-    return signals.daily_returns(t.prices()).select("ticker", text("fecha"), r6("retorno"))
+    return signals.daily_returns(t.stored_prices()).select("ticker", text("fecha"), r6("retorno"))
 
 
 @query("twr_index", """
@@ -126,7 +126,7 @@ def twr_index(t):
 @query("max_drawdown", """
 SELECT ticker, ROUND(MIN(caida), 6) AS max_drawdown FROM (SELECT ticker, close / MAX(close) OVER (PARTITION BY ticker ORDER BY fecha) - 1 AS caida FROM prices) GROUP BY ticker""")
 def max_drawdown(t):
-    return signals.drawdowns(t.prices()).select("ticker", r6("max_drawdown"))
+    return signals.drawdowns(t.stored_prices()).select("ticker", r6("max_drawdown"))
 
 
 CHART = {"grafica": """

@@ -97,7 +97,7 @@ SELECT ticker, CAST(entrada AS STRING) AS fecha_entrada, '2024-02-01' AS fecha_c
 def append_tracking(t):
     path = place(t, "tracking")
     blank = {c: F.lit(None) for c in S.SIGNAL_COLUMNS if c not in ("ticker", "fecha_entrada")}
-    rows = signals.signal_performance(official_signals(t), t.prices()).withColumns(blank)
+    rows = signals.signal_performance(official_signals(t), t.stored_prices()).withColumns(blank)
     writers.append_tracking(rows, path, MOMENT)
     return readers.read_tracking(t.spark, path).select(
         "ticker", F.to_date("fecha_entrada").cast("string").alias("fecha_entrada"),

@@ -307,6 +307,10 @@ class Tables:
             F.col("dia").alias("fecha"), (50 + F.col("value")).alias("close"),
         )
 
+    def stored_prices(self) -> DataFrame:
+        """The closes written once, as they would be stored."""
+        return stage_table(self.prices(), "prices")
+
     def tracking(self) -> DataFrame:
         """Computed returns, several per signal and some repeated."""
         dia = F.to_date("ts")

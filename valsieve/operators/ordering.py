@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from valsieve.functions.cleaning import as_col
+from valsieve.session import sized
 
 BUCKETS_PER_UNIT = 1024
 BUCKET_LIMIT = 1_000_000
@@ -113,8 +114,12 @@ def descending_ranks(df: DataFrame, columns: Sequence[str], keys: Sequence[str]
 
 def attach_descending_ranks(df: DataFrame, columns: dict[str, str],
                             keys: Sequence[str] = ()) -> DataFrame:
-    """Add the rank column ``columns[c]`` for every value column ``c``."""
-    ranks = descending_ranks(df, list(columns), keys)
+    """Add the rank column ``columns[c]`` for every value column ``c``.
+
+    The ranks, one row per distinct value, are written once and joined once per
+    column; Spark broadcasts them only when they are small.
+    """
+    ranks = sized(descending_ranks(df, list(columns), keys), "ranks")
     out = df
     for column, rank in columns.items():
         side = ranks.where(F.col("measure") == column).select(

@@ -120,8 +120,9 @@ def join_entry(signal_rows: DataFrame, path: DataFrame, entry: str = "fecha_entr
     A forward as-of join without a range join: signals and closes of a ticker
     are put in one stream ordered by day, and each signal takes the next close
     of its month.  Where the month has none, it is the first close of the next
-    month that has one; that is looked up once per (ticker, month).  Signals
-    without any later close are kept.
+    month that has one: a single row per (ticker, month) looks it up among the
+    later months and hands it back to its month.  Signals without any later
+    close are kept.
     """
     carried = [c for c in path.columns if c != "ticker"]
     closes = path.select("ticker", segment_of("fecha").alias("_seg"), F.col("fecha").alias("_day"), F.struct(*carried).alias("_close"), F.lit(1).alias("_kind"))
@@ -130,14 +131,20 @@ def join_entry(signal_rows: DataFrame, path: DataFrame, entry: str = "fecha_entr
         "ticker", segment_of(F.to_date(entry)).alias("_seg"), F.to_date(entry).alias("_day"),
         F.lit(None).cast(close_type).alias("_close"), F.lit(0).alias("_kind"), F.struct(*signal_rows.columns).alias("_signal"))
     stream = asked.unionByName(closes.withColumn("_signal", F.lit(None).cast(signal_type)))
-    in_month = Window.partitionBy("ticker", "_seg").orderBy("_day", "_kind").rowsBetween(*FROM_HERE)
-    local = stream.withColumn("_next", F.first("_close", ignorenulls=True).over(in_month)).where(F.col("_kind") == 0)
-    # One row per (ticker, month): its first close, or NULL where only signals are.
-    months = stream.groupBy("ticker", "_seg").agg(F.min_by("_close", F.when(F.col("_close").isNotNull(), F.col("_day"))).alias("_first"))
-    later = Window.partitionBy("ticker").orderBy("_seg").rowsBetween(*AFTER_HERE)
-    after = months.select("ticker", "_seg", F.first("_first", ignorenulls=True).over(later).alias("_after"))
+    month = Window.partitionBy("ticker", "_seg")
+    by_day = month.orderBy("_day", "_kind")
+    everywhere = by_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    local = stream.withColumns({
+        "_next": F.first("_close", ignorenulls=True).over(by_day.rowsBetween(*FROM_HERE)),
+        "_first": F.first("_close", ignorenulls=True).over(everywhere),
+        "_lead": F.row_number().over(by_day) == 1,
+    }).where(F.col("_lead") | (F.col("_kind") == 0))
+    # Only the leading row of each month meets those of the other months.
+    leaders = Window.partitionBy("ticker", F.when(~F.col("_lead"), F.col("_seg"))).orderBy("_seg").rowsBetween(*AFTER_HERE)
+    after = F.when(F.col("_lead"), F.first("_first", ignorenulls=True).over(leaders))
+    found = local.withColumn("_after", after).withColumn("_after", F.first("_after", ignorenulls=True).over(month))
     best = F.coalesce("_next", "_after")
-    return local.join(after, ["ticker", "_seg"], "left").select("_signal.*", best.alias("_close")).select(
+    return found.where(F.col("_kind") == 0).select("_signal.*", best.alias("_close")).select(
         *signal_rows.columns, *[F.col(f"_close.{c}").alias(c) for c in carried])
 
 
