@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from conftest import ideal
 from pyspark.sql import functions as F
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 from valsieve import settings as S
 from valsieve.operators import integrity, listings, metrics, output, quality, ranking, screen, summaries
 from valsieve.plans.analysis import analyze
+from valsieve.plans.api import payload
 
 
 def screened(df, **overrides):
@@ -172,6 +175,22 @@ def test_api_summary_without_candidates(companies):
     assert row["status"] == "no_candidates" and row["text"].startswith("0 of 1 evaluated")
 
 
+def test_api_payload(companies):
+    df = companies(ideal("A"), ideal("B", free_cash_flow=1.0), ideal("C", gasto_intereses=0.0))
+    result = analyze(df, {"per_bajo_mediana_sector": False})
+    lines = payload(result, df).collect()
+    counts = {}
+    for r in lines:
+        counts[r["seccion"]] = counts.get(r["seccion"], 0) + 1
+    assert counts == {"header": 1, "requested_tickers": 3, "summary": 1, "candidates": 2, "prompt": 3, "discarded": 1}
+    one = {r["seccion"]: json.loads(r["json"]) for r in lines}
+    assert one["header"]["schema_version"] == "1.0" and one["header"]["thresholds"]["per_bajo_mediana_sector"] is False
+    assert (one["summary"]["candidates"], one["summary"]["requested_tickers"], one["summary"]["status"]) == (2, 3, "candidates_found")
+    by_ticker = {json.loads(r["json"])["ticker"]: json.loads(r["json"]) for r in lines if r["seccion"] == "candidates"}
+    assert by_ticker["C"]["cobertura_int"] is None and by_ticker["A"]["cobertura_int"] == 14.0
+    assert "discarded" not in {r["seccion"] for r in payload(result, df, include_discarded=False).collect()}
+
+
 def test_metric_columns_are_complete(companies):
     assert metrics.compute_metrics(companies(ideal())).columns == S.METRIC_COLUMNS
     bare = companies(ideal()).drop("calidad_datos", "divisa_consistente", "proveedor_datos")

@@ -25,7 +25,8 @@ def test_period_and_series_rules(spark):
         # No TTM cash flow: both fall back to annual.
         ("B", "resultados", "TTM", "Total Revenue", "2026-06-30", 1100.0), ("B", "resultados", "ANUAL", "Operating Revenue", "2025-12-31", 1000.0),
         ("B", "resultados", "ANUAL", "Total Revenue", "2025-12-31", None), ("B", "flujo_caja", "ANUAL", "Free Cash Flow", "2025-12-31", 50.0),
-        ("B", "resultados", "ANUAL", "Tax Provision", "2025-12-31", 30.0), ("B", "resultados", "ANUAL", "Pretax Income", "2025-12-31", 100.0)]
+        ("B", "resultados", "ANUAL", "Tax Provision", "2025-12-31", 30.0), ("B", "resultados", "ANUAL", "Pretax Income", "2025-12-31", 100.0),
+        ("C", "resultados", "ANUAL", "Total Revenue", "2025-12-31", None), ("C", "balance", "ANUAL", "Otra Cosa", "2025-12-31", 1.0)]
     got = {r["ticker"]: r for r in statements.normalize(statement_table(spark, rows).repartition(3)).collect()}
     a, b = got["A"], got["B"]
     assert (a["tipo_periodo"], a["ingresos"], a["free_cash_flow"]) == ("TTM", 1100, 55)
@@ -35,6 +36,8 @@ def test_period_and_series_rules(spark):
     assert a["fecha_balance"] == dt.date(2025, 12, 31) and a["fecha_resultados"] == dt.date(2026, 6, 30)
     assert (b["tipo_periodo"], b["ingresos"], b["free_cash_flow"], b["tasa_impositiva"]) == ("ANUAL", 1000, 50, 0.3)
     assert b["anios_historico"] is None
+    assert (got["C"]["ingresos"], got["C"]["cash"], got["C"]["tasa_impositiva"]) == (None, None, 0.25)
+    assert got["C"]["fecha_resultados"] == dt.date(2025, 12, 31)
 
 
 def test_unpivot(spark):

@@ -187,7 +187,7 @@ def integrity_gate(t):
 
 
 @query("api_summary", """
-SELECT CAST((SELECT COUNT(*) FROM metricas) AS BIGINT) AS requested_tickers, (SELECT COUNT(*) FROM metricas) AS raw_results,
+SELECT COUNT(*) AS requested_tickers, (SELECT COUNT(*) FROM metricas) AS raw_results,
  COUNT(*) AS evaluated_companies, COUNT(*) FILTER (WHERE pasa) AS candidates, COUNT(*) FILTER (WHERE NOT pasa) AS discarded,
  (SELECT COUNT(*) FROM metricas WHERE error_descarga <> '') AS download_errors, (SELECT COUNT(*) FROM metricas) - COUNT(*) AS deduplicated_listings,
  CASE WHEN COUNT(*) FILTER (WHERE pasa) > 0 THEN 'candidates_found' ELSE 'no_candidates' END AS status,

@@ -96,16 +96,34 @@ def latest_statement_dates(statements: DataFrame) -> DataFrame:
     return statements.groupBy("ticker", "statement", "basis").agg(F.max("period_end").alias("fecha"))
 
 
+def headers(statements: DataFrame) -> DataFrame:
+    """Basis and newest dates of every listing, in one pass by ticker."""
+    def newest(statement, basis=None):
+        match = F.col("statement") == statement
+        return F.max(F.when(match if basis is None else match & (F.col("basis") == basis), F.col("period_end")))
+
+    dates = statements.groupBy("ticker").agg(
+        newest("resultados", "TTM").alias("_income_ttm"), newest("flujo_caja", "TTM").alias("_cash_ttm"),
+        F.count_if((F.col("statement") == "resultados") & (F.col("basis") == "TTM")).alias("_n_income"),
+        F.count_if((F.col("statement") == "flujo_caja") & (F.col("basis") == "TTM")).alias("_n_cash"),
+        newest("resultados", "ANUAL").alias("fecha_resultados_anual"),
+        newest("flujo_caja", "ANUAL").alias("fecha_flujo_caja_anual"), newest("balance").alias("fecha_balance"))
+    ttm = (F.col("_n_income") > 0) & (F.col("_n_cash") > 0)
+    return dates.select(
+        "ticker", F.when(ttm, "TTM").otherwise("ANUAL").alias("tipo_periodo"),
+        F.when(ttm, F.col("_income_ttm")).otherwise(F.col("fecha_resultados_anual")).alias("fecha_resultados"),
+        F.when(ttm, F.col("_cash_ttm")).otherwise(F.col("fecha_flujo_caja_anual")).alias("fecha_flujo_caja"),
+        "fecha_balance", "fecha_resultados_anual", "fecha_flujo_caja_anual")
+
+
 def normalize(statements: DataFrame) -> DataFrame:
     """One wide row per listing, never mixing TTM and annual figures.
 
-    Two aggregations by ticker over already reduced series, joined with the
-    basis; the pivot is a fixed list of fields.
+    Listings without any usable value stay, with missing figures.  The pivot is
+    a fixed list of fields over already reduced series.
     """
-    basis = period_basis(statements)
+    head = headers(statements)
     series = series_values(statements, BALANCE_FIELDS)
-    dates = latest_statement_dates(statements)
-
     chosen = (F.col("statement") == "balance") | (F.col("basis") == F.col("tipo_periodo"))
     annual = F.col("basis") == "ANUAL"
 
@@ -115,31 +133,19 @@ def normalize(statements: DataFrame) -> DataFrame:
     flow = ["ingresos", "ebit", "net_income", "gasto_intereses", "ebitda", "free_cash_flow"]
     years = F.datediff("hasta", "desde") / 365.25
     usable = (F.col("campo") == "ingresos") & annual & (F.col("n") >= 2) & (years > 0)
-    wide = (
-        series.join(basis, "ticker").groupBy("ticker", "tipo_periodo").agg(
-            *[value(f, chosen).alias(f) for f in flow + BALANCE_FIELDS],
-            *[value(f, chosen, "anterior").alias(f"{f}_inicio") for f in BALANCE_FIELDS],
-            value("tax_provision", chosen).alias("_tax"), value("pretax_income", chosen).alias("_pretax"),
-            F.max(F.when(usable, F.col("primero"))).alias("ingresos_inicio_historico"),
-            F.max(F.when(usable, F.col("ultimo"))).alias("ingresos_fin_historico"),
-            F.max(F.when(usable, years)).alias("anios_historico"),
-            *[value(f, annual).alias(f"{f}_anual") for f in ("ingresos", "net_income", "ebit", "free_cash_flow", "gasto_intereses")],
-        )
+    wide = series.join(head.select("ticker", "tipo_periodo"), "ticker").groupBy("ticker").agg(
+        *[value(f, chosen).alias(f) for f in flow + BALANCE_FIELDS],
+        *[value(f, chosen, "anterior").alias(f"{f}_inicio") for f in BALANCE_FIELDS],
+        value("tax_provision", chosen).alias("_tax"), value("pretax_income", chosen).alias("_pretax"),
+        F.max(F.when(usable, F.col("primero"))).alias("ingresos_inicio_historico"),
+        F.max(F.when(usable, F.col("ultimo"))).alias("ingresos_fin_historico"),
+        F.max(F.when(usable, years)).alias("anios_historico"),
+        *[value(f, annual).alias(f"{f}_anual") for f in ("ingresos", "net_income", "ebit", "free_cash_flow", "gasto_intereses")],
     )
-
-    def newest(statement, condition):
-        return F.max(F.when((F.col("statement") == statement) & condition, F.col("fecha")))
-
-    same = F.col("basis") == F.col("tipo_periodo")
-    when = dates.join(basis, "ticker").groupBy("ticker").agg(
-        newest("resultados", same).alias("fecha_resultados"), newest("flujo_caja", same).alias("fecha_flujo_caja"),
-        newest("balance", F.lit(True)).alias("fecha_balance"),
-        newest("resultados", annual).alias("fecha_resultados_anual"), newest("flujo_caja", annual).alias("fecha_flujo_caja_anual"))
     annual_map = F.map_from_arrays(
         F.array(*[F.lit(f) for f in S.COMPARED_FIELDS]),
         F.array(*[F.col(f) if f in BALANCE_FIELDS else F.col(f"{f}_anual") for f in S.COMPARED_FIELDS]))
-    joined = wide.join(when, "ticker", "left")
-    return joined.withColumns({
+    return head.join(wide, "ticker", "left").withColumns({
         "tasa_impositiva": R.effective_tax_rate("_tax", "_pretax"), "comparables_anuales": annual_map,
     }).select(
         "ticker", "tipo_periodo", *flow, *BALANCE_FIELDS, *[f"{f}_inicio" for f in BALANCE_FIELDS],

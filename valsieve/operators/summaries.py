@@ -64,15 +64,19 @@ def run_control(evaluated: DataFrame, requested: DataFrame,
         "datos_ok", "datos_revisar", "datos_inutilizables")
 
 
-def api_summary(control: DataFrame) -> DataFrame:
-    """The public summary with its deterministic conclusion."""
+def api_summary(control: DataFrame, requested: int | None = None) -> DataFrame:
+    """The public summary with its deterministic conclusion.
+
+    Without an explicit list, the requested tickers are the evaluated ones.
+    """
+    asked = F.col("empresas_evaluadas") if requested is None else F.lit(requested).cast("bigint")
     found = F.col("candidatas") > 0
     text = F.format_string(
         "%d of %d evaluated companies passed every configured quantitative criterion. "
         "This result requires primary-source review and is not an investment recommendation.",
         "candidatas", "empresas_evaluadas")
     return control.select(
-        F.col("tickers_solicitados").alias("requested_tickers"), F.col("resultados_brutos").alias("raw_results"),
+        asked.alias("requested_tickers"), F.col("resultados_brutos").alias("raw_results"),
         F.col("empresas_evaluadas").alias("evaluated_companies"), F.col("candidatas").alias("candidates"),
         (F.col("empresas_evaluadas") - F.col("candidatas")).alias("discarded"),
         F.col("errores_descarga").alias("download_errors"), F.col("deduplicados").alias("deduplicated_listings"),
