@@ -35,6 +35,9 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8,
     return spark
 
 
+LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -46,8 +49,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="valsieve-stage-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        application = spark.sparkContext.applicationId
+        if application not in LOCAL_FOLDERS:
+            LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="valsieve-stage-")
+        named = LOCAL_FOLDERS[application]
     return named
 
 
