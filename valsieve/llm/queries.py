@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from valsieve.llm import bpe, exact_dedup, jaccard_join
+from valsieve.llm import bpe, exact_dedup, jaccard_join, toxicity
 from valsieve.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -25,6 +25,12 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op3_toxicity(spark, folder):
+    """Score of every document."""
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS body FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
