@@ -100,30 +100,38 @@ def row_key() -> list[Column]:
     return [F.col("doc_id"), F.xxhash64(text_of()).alias("row_hash")]
 
 
+def numbered_columns(docs: DataFrame, *needed: str) -> DataFrame:
+    """``docs`` with its columns as c0, c1, ... and copies of the needed ones under ``_name``.
+
+    The columns of an input may have any names, so what an operator adds can't clash.
+    """
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.withColumns({f"_{name}": plain[f"c{docs.columns.index(name)}"] for name in needed})
+
+
+def named_back(kept: DataFrame, docs: DataFrame) -> DataFrame:
+    """Only the columns of ``docs``, under their names."""
+    return kept.select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
+
+
 def without_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """Keep the rows of ``docs`` that ``decisions`` keeps, one of each repeated row.
 
-    ``decisions`` is narrow and staged: doc_id, row_hash, kept, copies (rows with
-    this id and hash).  Only dropped keys and keys of repeated rows meet the
-    texts; Spark broadcasts them where their written size allows it.
+    ``decisions`` is narrow and staged, with the keys of dropped and of repeated
+    rows only: doc_id, row_hash, kept, copies (rows with this id and hash).  Spark
+    broadcasts them where their written size allows it.
     """
-    columns = docs.columns
-    keyed = docs.withColumn("_hash", F.xxhash64(text_of()))
+    keyed = numbered_columns(docs, "doc_id", "text").withColumn("_hash", F.xxhash64(text_of("_text"))).drop("_text")
+    away = decisions.select(F.col("doc_id").alias("gone_id"), F.col("row_hash").alias("gone_hash"), "kept")
+    many = away.where("kept")
 
     def same(side: DataFrame):
-        return keyed.doc_id.eqNullSafe(side.gone_id) & (keyed._hash == side.gone_hash)
-
-    names = [F.col("doc_id").alias("gone_id"), F.col("row_hash").alias("gone_hash")]
-    gone = decisions.where("not kept").select(*names)
-    many = decisions.where("kept and copies > 1").select(*names)
-    if gone.isEmpty() and many.isEmpty():
-        return docs
-    if many.isEmpty():
-        return keyed.join(gone, same(gone), "left_anti").select(*columns)
-    away = stage(many.unionByName(gone), "rows-away")
-    plain = keyed.join(away, same(away), "left_anti")
-    first = keyed.join(many, same(many), "left_semi").dropDuplicates(["doc_id", "_hash"])
-    return plain.unionByName(first).select(*columns)
+        return keyed._doc_id.eqNullSafe(side.gone_id) & (keyed._hash == side.gone_hash)
+
+    left = keyed.join(away, same(away), "left_anti")
+    if not many.isEmpty():
+        left = left.unionByName(keyed.join(many, same(many), "left_semi").dropDuplicates(["_doc_id", "_hash"]))
+    return named_back(left, docs)
 
 
 def join_hot(rows: DataFrame, groups: DataFrame, key: str, spread: str, salts: int = 16) -> DataFrame:

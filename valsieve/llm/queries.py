@@ -4,12 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from valsieve.llm import bpe, exact_dedup, jaccard_join, toxicity
+from valsieve.llm import bpe, exact_dedup, jaccard_join, mixing, toxicity
 from valsieve.llm.common import table
 
 QUERIES, ORACLES = {}, {}
 
 
+def raking_sql() -> str:
+    """The raking of the mixing operator, unrolled."""
+    topic = " ".join(f"WHEN regexp_matches(body, '{pattern}') THEN '{name}'" for name, pattern in mixing.TOPICS)
+    parts = [f"""
+WITH d AS (SELECT doc_id, coalesce(source, '{mixing.NO_VALUE}') AS m_source, coalesce(lang, '{mixing.NO_VALUE}') AS m_lang, coalesce(text, '') AS body
+  FROM documents),
+w AS (SELECT doc_id, m_source, m_lang, CASE {topic} ELSE '{mixing.REST}' END AS m_topic,
+  CAST(len(regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS m_words FROM d),
+cells AS (SELECT m_source, m_lang, m_topic, CAST(sum(m_words) AS DOUBLE) AS tokens FROM w GROUP BY ALL)"""]
+    names = [f"m_{m}" for m in mixing.MARGINS]
+    for name in names:
+        parts.append(f"s_{name} AS (SELECT {name}, pow(sum(tokens), {mixing.FLATTEN}) / sum(pow(sum(tokens), {mixing.FLATTEN})) OVER () AS share_{name} FROM cells GROUP BY {name})")
+    parts.append(f"r0 AS (SELECT *, tokens / sum(tokens) OVER () AS weight FROM cells {' '.join(f'JOIN s_{n} USING ({n})' for n in names)})")
+    for k in range(3 * mixing.ROUNDS):
+        n = names[k % 3]
+        parts.append(f"r{k + 1} AS (SELECT * REPLACE (CASE WHEN sum(weight) OVER (PARTITION BY {n}) > 0 THEN weight * share_{n} / sum(weight) OVER (PARTITION BY {n}) ELSE 0 END AS weight) FROM r{k})")
+    parts.append(f"p AS (SELECT *, coalesce(CASE WHEN tokens > 0 THEN weight / tokens END / max(CASE WHEN tokens > 0 THEN weight / tokens END) OVER (), 1) AS probability FROM r{3 * mixing.ROUNDS})")
+    return ",\n".join(parts) + """
+SELECT doc_id, m_topic AS topic, m_words AS n_words, round(probability, 9) AS probability,
+  CAST(concat('0x', substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 < probability AS sampled
+FROM w JOIN p USING (m_source, m_lang, m_topic)
+"""
+
+
 def query(sql: str | None = None):
     def register(fn):
         def run(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,3 +79,10 @@ def op7_bpe(spark, folder):
 def op9_jaccard_join(spark, folder):
     """Class and links of every document."""
     return jaccard_join.near_duplicates(table(spark, folder, "documents")).drop("row_hash", "component")
+
+
+@query(raking_sql())
+def op10_mixing(spark, folder):
+    """Calibrated probability of every document, and whether it is sampled."""
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    return mixed.selectExpr("doc_id", "m_topic AS topic", "m_words AS n_words", "round(probability, 9) AS probability", "sampled")

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from valsieve.llm.common import fold, pieces, ship, stage, text_of, texts_of, words_of
+from valsieve.llm.common import fold, named_back, numbered_columns, pieces, ship, stage, text_of, texts_of, words_of
 
 #: Labelled texts the classifier is fitted on at most.
 SAMPLE = 20_000
@@ -350,8 +350,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that the model doesn't reject, with their columns."""
     trained = train(docs, labels, sample)
-    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # columns may have any names
-    text = named.withColumn("text", named[f"c{docs.columns.index('text')}"])
-    kept = score(text, trained).where(F.col("score") < THRESHOLD)
-    return kept.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns)])
-
+    kept = score(numbered_columns(docs, "text").withColumnRenamed("_text", "text"), trained).where(F.col("score") < THRESHOLD)
+    return named_back(kept, docs)
