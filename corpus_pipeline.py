@@ -9,10 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from valsieve.llm import bpe, exact_dedup, jaccard_join
+from valsieve.llm import bpe, exact_dedup, jaccard_join, mixing, toxicity
 from valsieve.llm.common import stage, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score reaches the threshold go."""
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest doc_id stays."""
     return exact_dedup.keep_first(docs)
@@ -23,6 +28,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return jaccard_join.keep_one(docs)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose tokens have the wanted shares of sources, languages and topics."""
+    return mixing.sample(docs)
+
+
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token numbers and digests of every remaining document."""
     import public_tokenizers
@@ -31,8 +41,10 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("exact_dedup", drop_exact_copies),
     ("jaccard_join", drop_near_copies),
+    ("mixing", mix_sources),
     ("bpe", encode_tokens),
 ]
 
