@@ -80,14 +80,14 @@ def shares(cells: DataFrame, margin: str, given: dict[str, float] | None, flatte
         *[F.when(F.col(margin) == k, F.lit(float(v)) * F.col("total")) for k, v in sorted(given.items())], F.col("present"))
     sums = sums.join(F.broadcast(total)).withColumn("raw", F.when(F.col("present") > 0, wanted).otherwise(0.0))  # total is one row
     whole = sums.agg(F.sum("raw").alias("whole"))
-    return sums.join(F.broadcast(whole)).select(margin, (F.col("raw") / F.col("whole")).alias("share"))
+    return sums.join(F.broadcast(whole)).select(margin, F.coalesce(F.try_divide("raw", "whole"), F.lit(0.0)).alias("share"))
 
 
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, flatten: float = FLATTEN, rounds: int = ROUNDS) -> DataFrame:
     """Cells (m_source, m_lang, m_topic, tokens) with ``weight``, their raked share of all tokens."""
     targets = targets or {}
     total = cells.agg(F.sum("tokens").cast("double").alias("all_tokens"))
-    now = cells.join(F.broadcast(total)).select(*cells.columns, (F.col("tokens") / F.col("all_tokens")).alias("weight"))  # one row
+    now = cells.join(F.broadcast(total)).select(*cells.columns, F.coalesce(F.try_divide("tokens", "all_tokens"), F.lit(0.0)).alias("weight"))  # one row
     for margin in MARGINS:
         column = f"m_{margin}"
         share = shares(cells, column, targets.get(margin), flatten).withColumnRenamed("share", f"share_{margin}")
@@ -112,7 +112,7 @@ def probabilities(docs: DataFrame, targets=None, flatten: float = FLATTEN, round
     largest = raked.agg(F.max("factor").alias("largest"))
     # Cells without tokens take nothing from any target: their documents stay.
     return raked.join(F.broadcast(largest)).select(  # one row
-        "m_source", "m_lang", "m_topic", "tokens", "weight", F.coalesce(F.col("factor") / F.col("largest"), F.lit(1.0)).alias("probability"))
+        "m_source", "m_lang", "m_topic", "tokens", "weight", F.coalesce(F.try_divide("factor", "largest"), F.lit(1.0)).alias("probability"))
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, flatten: float = FLATTEN, rounds: int = ROUNDS, topic=topic_of) -> DataFrame:
