@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from valsieve.llm import bpe, exact_dedup, jaccard_join, mixing, toxicity
+from valsieve.llm import bpe, exact_dedup, jaccard_join, maxent_lm, mixing, toxicity
 from valsieve.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -49,6 +49,12 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_maxent_lm(spark, folder):
+    """Log probability of every document under the hashed model and under the base."""
+    return maxent_lm.held_out_scores(table(spark, folder, "documents"))
+
+
 @query()
 def op3_toxicity(spark, folder):
     """Score of every document."""
