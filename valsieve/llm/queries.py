@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from valsieve.llm import bpe, exact_dedup, jaccard_join, maxent_lm, mixing, toxicity
+from valsieve.llm import bpe, exact_dedup, html_text, jaccard_join, maxent_lm, mixing, spotsigs, toxicity
 from valsieve.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -72,6 +72,12 @@ def op4_exact_dedup(spark, folder):
     return exact_dedup.exact_groups(table(spark, folder, "documents")).drop("row_hash")
 
 
+@query()
+def op6_html_text(spark, folder):
+    """Main text of every page."""
+    return html_text.extract(table(spark, folder, "pages"))
+
+
 @query()
 def op7_bpe(spark, folder):
     """Token numbers and digests of ids and decoded text of every document."""
@@ -81,6 +87,12 @@ def op7_bpe(spark, folder):
     return bpe.encode(table(spark, folder, "documents"), path, with_ids=False)
 
 
+@query()
+def op8_spotsigs(spark, folder):
+    """Fingerprints of every document and of its edited text, and how near they are."""
+    return spotsigs.fingerprints(table(spark, folder, "documents"))
+
+
 @query()
 def op9_jaccard_join(spark, folder):
     """Class and links of every document."""
