@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from valsieve.llm import bpe, exact_dedup, html_text, jaccard_join, maxent_lm, mixing, spotsigs, toxicity
+from valsieve.llm import bpe, exact_dedup, html_text, jaccard_join, licences, maxent_lm, mixing, spotsigs, token_files, toxicity
 from valsieve.llm.common import table
 
+#: An id that the byte-level vocabulary leaves free.
+END_OF_TEXT = 50256
 QUERIES, ORACLES = {}, {}
 
 
@@ -55,6 +57,15 @@ def op1_maxent_lm(spark, folder):
     return maxent_lm.held_out_scores(table(spark, folder, "documents"))
 
 
+@query()
+def op2_token_files(spark, folder):
+    """Tokens of every document, counted in flat files of the whole table."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return token_files.document_tokens(table(spark, folder, "documents"), path, public_tokenizers.PATTERN, END_OF_TEXT)
+
+
 @query()
 def op3_toxicity(spark, folder):
     """Score of every document."""
@@ -72,6 +83,12 @@ def op4_exact_dedup(spark, folder):
     return exact_dedup.exact_groups(table(spark, folder, "documents")).drop("row_hash")
 
 
+@query()
+def op5_licences(spark, folder):
+    """Licences of every document."""
+    return licences.scan(table(spark, folder, "documents"))
+
+
 @query()
 def op6_html_text(spark, folder):
     """Main text of every page."""

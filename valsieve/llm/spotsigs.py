@@ -34,7 +34,7 @@ from valsieve.llm.common import pieces, row_key, ship, stage, starts_of, text_of
 CHAIN, STEP = 3, 1
 SIMILARITY = 0.8
 #: Ranges of ids that ``neighbours`` sorts by itself; each should fit a task.
-RANGE_BYTES = 24 << 20
+RANGE_BYTES = 16 << 20
 #: Common words of English, German, French and Spanish.
 ANCHORS = (
     "a an and are as at be been but by for from had has have he her his in is it its of on or she that the their there they "
@@ -100,42 +100,68 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - half] + following[:half]
 
 
-def id_ranges(docs: DataFrame) -> list:
+def id_ranges(docs: DataFrame) -> np.ndarray:
     """First ids of the ranges the table is sorted in: about RANGE_BYTES of text each, from the whole table."""
     size = docs.agg(F.sum(F.octet_length(text_of())).alias("bytes")).first().bytes or 0
     count = math.ceil(size / RANGE_BYTES)
     if count < 2:
-        return []
+        return np.empty(0, np.int64)
     steps = [k / count for k in range(1, count)]
-    points = docs.agg(F.percentile_approx("doc_id", steps, 10_000).alias("points")).first().points
-    return sorted({p for p in points or [] if p is not None})
+    points = docs.agg(F.percentile_approx("doc_id", steps, max(10_000, 20 * count)).alias("points")).first().points
+    return np.array(sorted({p for p in points or [] if p is not None}))
+
+
+def parts_of(ids: pa.Array, points: np.ndarray) -> np.ndarray:
+    """Range of each id; missing ids are in the first."""
+    missing = pc.is_null(ids).to_numpy(zero_copy_only=False)
+    known = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
+    return np.where(missing, 0, np.searchsorted(points, known, side="right")).astype(np.int64)
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """Every row sent once to the task of its range of ids, and the first row of each range also to the range before.
+    """Every row sent once to the task of its range of ids, and the first rows of each range also to the range before.
 
     Columns: part, late (the row only serves as a follower), doc_id, text.  The
-    first row of all serves as follower of the last.
+    first row of all serves as follower of the last.  Ranges and their first ids
+    are one small row for every RANGE_BYTES of text.
     """
+    spark = docs.sparkSession
     narrow = docs.select("doc_id", text_of().alias("text"))
-    points = id_ranges(narrow)
-    part = F.lit(0)
-    for p in points:  # at most one for every RANGE_BYTES of text
-        part = part + F.when(F.col("doc_id") >= F.lit(p), 1).otherwise(0)
-    placed = narrow.withColumn("part", part.cast("int"))
-    order = F.struct(F.col("doc_id").isNotNull().alias("present"), "doc_id")
-    firsts = placed.groupBy("part").agg(F.min(order).alias("first")).orderBy("part").collect()  # a row for each range
-    if not firsts:
-        return placed.select("part", F.lit(False).alias("late"), "doc_id", "text")
-    own = F.struct(F.col("part"), F.lit(False).alias("late"))
-    copies = F.array(own)
-    before = {r.part: (firsts[k - 1].part, r.first.doc_id) for k, r in enumerate(firsts)}
-    for here, (target, first) in before.items():
-        is_first = (F.col("part") == here) & F.col("doc_id").eqNullSafe(F.lit(first))
-        copies = F.when(is_first, F.array(own, F.struct(F.lit(target).cast("int").alias("part"), F.lit(True).alias("late")))).otherwise(copies)
-    sent = placed.withColumn("to", F.explode(copies)).select(F.col("to.part").alias("part"), F.col("to.late").alias("late"), "doc_id", "text")
-    dealt = sent.repartition("part")
-    return dealt.sortWithinPartitions("part", "late", F.col("doc_id").asc_nulls_first(), "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    ranges = spark.sparkContext.broadcast(id_ranges(narrow))
+
+    def first_ids(batches):
+        least: dict[int, tuple] = {}
+        for batch in batches:
+            for part, doc_id in zip(parts_of(batch.column(0), ranges.value).tolist(), batch.column(0).to_pylist(), strict=True):
+                key = (doc_id is not None, doc_id or 0)
+                if part not in least or key < least[part]:
+                    least[part] = key
+        yield pa.RecordBatch.from_pydict({
+            "part": pa.array(list(least), pa.int64()), "known": pa.array([k[0] for k in least.values()], pa.bool_()),
+            "first": pa.array([k[1] for k in least.values()], pa.int64())})
+
+    found = docs.select("doc_id").mapInArrow(first_ids, "part bigint, known boolean, first bigint")
+    rows = sorted((r.part, r.at.known, r.at.first) for r in found.groupBy("part").agg(F.min(F.struct("known", "first")).alias("at")).collect())
+    before = {row[0]: (rows[k - 1][0], *row[1:]) for k, row in enumerate(rows)}
+    shared = spark.sparkContext.broadcast(before)
+
+    def place(batches):
+        for batch in pieces(batches, "text"):
+            ids = batch.column("doc_id")
+            parts = parts_of(ids, ranges.value)
+            known = pc.is_valid(ids).to_numpy(zero_copy_only=False)
+            value = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
+            target, first_known, first = (np.array([shared.value[p][k] for p in parts.tolist()]) for k in range(3))
+            again = np.flatnonzero((known == first_known) & (~known | (value == first)))
+            for rows_, to, late in ((np.arange(len(parts)), parts, False), (again, target[again] if len(again) else again, True)):
+                if len(rows_):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(to.astype(np.int64)), pa.array([late] * len(rows_)), ids.take(pa.array(rows_)), batch.column("text").take(pa.array(rows_))],
+                        names=["part", "late", "doc_id", "text"])
+
+    sent = narrow.mapInArrow(place, f"part bigint, late boolean, doc_id {kind}, text string")
+    return sent.repartition("part").sortWithinPartitions("part", "late", F.col("doc_id").asc_nulls_first(), "text")
 
 
 def fingerprint_batches(batches, anchors):
