@@ -26,7 +26,7 @@ from valsieve.llm.common import pieces, ship, starts_of, texts_of, words_of
 
 NO_PAIR = np.iinfo(np.int64).max
 #: Pieces of text kept encoded by one task; beyond that the store starts afresh.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 80_000
 #: Unicode white space, and the pre-token pattern as the vocabulary file states it.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+"

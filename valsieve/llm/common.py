@@ -19,11 +19,17 @@ from valsieve.session import stage_table
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of one batch between Spark and Python.
+BATCH_BYTES = 4 << 20
 SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this library, once per application, as ``--py-files`` would."""
+    """Give the executors this library, once per application, as ``--py-files`` would.
+
+    Batches between Spark and Python are bounded by bytes, as texts may be long.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     application = spark.sparkContext.applicationId
     if application in SHIPPED:
         return
@@ -55,7 +61,7 @@ def fold(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def pieces(batches, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a piece holds one row or at most ``limit`` bytes of ``column``."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

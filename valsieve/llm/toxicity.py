@@ -58,7 +58,7 @@ PLAIN = regex.compile(r"[\p{L}\p{M}]*\Z")
 TRIPLE = regex.compile(r"(\p{L})\1\1")
 DECORATION = regex.compile(r"([^\p{L}\p{N}])\1\1+\Z|\A([^\p{L}\p{N}])\2\2+")
 TRIM = "\"'“”‘’«»()[]{}.,;:?…*&%#~_=-/\\"
-CACHE_WORDS = 200_000
+CACHE_WORDS = 80_000
 
 
 def letter_code(points: np.ndarray) -> np.ndarray:
