@@ -132,3 +132,12 @@ def test_tracking_plan_appends(spark, tmp_path):
     stored = readers.read_tracking(spark, path)
     assert {r["ticker"] for r in stored.collect()} == {"A"} and stored.count() == 2
     assert stored.agg(F.round(F.max("retorno_total"), 6)).first()[0] == 0.1
+
+
+def test_returns_after_a_missing_close(spark):
+    rows = [("A", "2024-01-30", 10.0), ("A", "2024-02-01", 20.0), ("A", "2024-02-02", None), ("A", "2024-02-05", 30.0), ("B", "2024-02-01", None), ("B", "2024-02-02", 5.0)]
+    table = spark.createDataFrame(rows, "ticker string, fecha string, close double").withColumn("fecha", F.to_date("fecha"))
+    got = {(r["ticker"], str(r["fecha"])): r["retorno"] for r in signals.daily_returns(table).collect()}
+    assert got == {("A", "2024-01-30"): None, ("A", "2024-02-01"): 1.0, ("A", "2024-02-05"): 0.5, ("B", "2024-02-02"): None}
+    index = {(r["ticker"], str(r["fecha"])): r["indice"] for r in signals.wealth_index(table).collect()}
+    assert index["A", "2024-02-05"] == 3.0 and index["B", "2024-02-02"] == 1.0

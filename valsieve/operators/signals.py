@@ -56,8 +56,11 @@ def signals(journal: DataFrame) -> DataFrame:
 
 
 def daily_returns(prices: DataFrame) -> DataFrame:
-    """Return against the close before, inside segments and across their edges."""
-    rows = prices.withColumn("_seg", segment_of("fecha"))
+    """Return against the last known close before, inside segments and across their edges.
+
+    Days without a close give no row.
+    """
+    rows = prices.where(F.col("close").isNotNull()).withColumn("_seg", segment_of("fecha"))
     inside = Window.partitionBy("ticker", "_seg").orderBy("fecha")
     across = Window.partitionBy("ticker").orderBy("_seg")
     closing = rows.groupBy("ticker", "_seg").agg(F.max_by("close", "fecha").alias("_end")).select(
@@ -70,7 +73,8 @@ def daily_returns(prices: DataFrame) -> DataFrame:
 
 
 def wealth_index(prices: DataFrame) -> DataFrame:
-    """Time-weighted index from 1.0: the chained returns without flows."""
+    """Time-weighted index from 1.0 at the first known close: the chained returns without flows."""
+    prices = prices.where(F.col("close").isNotNull())
     start = prices.groupBy("ticker").agg(F.min_by("close", "fecha").alias("_start"))
     return prices.join(start, "ticker").withColumn(
         "indice", F.try_divide(F.col("close"), F.col("_start"))).drop("_start")
