@@ -115,6 +115,8 @@ def test_verification_states(spark):
     with pytest.raises(VerificationError):
         verification.verify(primary.drop("ticker"), secondary, "snap_x", "2026-01-01")
     assert verification.repeated_tickers(primary.unionByName(primary.limit(1))).count() == 1
+    with pytest.raises(VerificationError, match="more than once"):
+        verification.verify(primary, secondary.unionByName(secondary.limit(1)), "snap_x", "2026-01-01")
 
 
 def test_verification_append_is_idempotent(spark, tmp_path):

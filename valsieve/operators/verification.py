@@ -129,8 +129,8 @@ def verify(primary: DataFrame, secondary: DataFrame, snapshot_id: str, moment: s
     """The verification table: one row per company and component."""
     if not str(snapshot_id or "").startswith(S.SNAPSHOT_PREFIX):
         raise VerificationError("snapshot_id missing or not valid")
-    for name, source in (("primary", primary), ("secondary", secondary)):
-        if (again := repeated_tickers(source).select("ticker").first()) is not None:
+    for name, rows in (("primary", side(primary, "t_")), ("secondary", side(secondary, "t_"))):
+        if (again := repeated_tickers(rows.select(F.col("t_ticker").alias("ticker"))).first()) is not None:
             raise VerificationError(f"the {name} source gives {again['ticker']} more than once")
     known = semantic_override(compare_components(primary, secondary))
 
