@@ -114,6 +114,22 @@ def test_rejected_run_writes_nothing(spark, weekly, companies):
     assert readers.read_journal(spark, journal_path).count() == 0 and readers.read_runs(spark, runs_path).count() == 0
     with pytest.raises(UniverseError):
         run_weekly(bad, journal_path, runs_path, "2026-08-24 07:00:00", official=True)
+    whole = companies(ideal("A"), ideal("B"))
+    asked = whole.select("ticker").unionByName(companies(ideal("LOST")).select("ticker"))
+    with pytest.raises(IntegrityError, match="brutos_cuadran"):
+        run_weekly(whole, journal_path, runs_path, "2026-08-24 07:00:00", requested=asked)
+    assert readers.read_journal(spark, journal_path).count() == 0
+
+
+def test_control_sees_rows_lost_after_dedup(companies):
+    obtained = companies(ideal("A"), ideal("A2", nombre="A plc"), ideal("B"), ideal("C"))
+    evaluated = analyze(obtained).evaluated
+    row = summaries.run_control(evaluated, obtained, requested=obtained).first()
+    assert row["tickers_solicitados"] == 4 and row["resultados_brutos"] - row["deduplicados"] == row["empresas_evaluadas"]
+    assert integrity.gate(evaluated, summaries.run_control(evaluated, obtained)).first()["valida"]
+    short = evaluated.where("ticker <> 'C'")
+    checks = integrity.gate(short, summaries.run_control(short, obtained, requested=obtained)).first()
+    assert not checks["deduplicados_cuadran"] and not checks["valida"]
 
 
 def test_failing_verification_does_not_fail_the_run(spark, weekly):

@@ -50,6 +50,24 @@ def test_regional_median_and_fallback(companies):
     assert (row["base_mediana"], row["n_sector"]) == ("sector_global", 7)
 
 
+def test_scenarios_choose_the_median_by_their_own_minimum(companies):
+    both = companies(*[ideal(f"JP{i}", pais="Japan") for i in range(6)],
+                     *[ideal(f"US{i}", pais="United States", net_income=0.8e9) for i in range(6)])
+    cases = {"default": {}, "eight": {"min_empresas_sector": 8}, "many": {"min_empresas_sector": 20}}
+    found = {}
+    for r in screen.screen_scenarios(both, cases).collect():
+        found.setdefault(r["escenario"], {})[r["ticker"]] = r
+    for name, overrides in cases.items():
+        alone = screened(both, **overrides)
+        assert alone.keys() == found[name].keys()
+        for ticker, r in alone.items():
+            for column in ("pasa", "motivos", *S.PEER_COLUMNS):
+                assert found[name][ticker][column] == r[column], (name, ticker, column)
+    assert {r["base_mediana"] for r in found["eight"].values()} == {S.BASIS_GLOBAL}
+    assert {r["base_mediana"] for r in found["default"].values()} == {S.BASIS_REGIONAL}
+    assert sum(r["pasa"] for r in found["eight"].values()) == 6
+
+
 def test_missing_sector_has_no_median(companies):
     rows = {r["ticker"]: r for r in metrics.compute_metrics(companies(
         ideal("A", sector=None), *[ideal(f"B{i}") for i in range(5)], ideal("C", sector="X", net_income=-1.0))).collect()}

@@ -70,6 +70,15 @@ def reason_list(limit=None) -> str:
     return "concat_ws(';', " + ", ".join(parts) + ")"
 
 
+def peer_choice(minimum: int) -> str:
+    """Every listing with the peer median that the given minimum of peers chooses."""
+    return f"""
+SELECT r.*, CASE WHEN n_regional >= {minimum} THEN med_regional ELSE med_global END AS per_mediana_sector,
+  CASE WHEN n_regional >= {minimum} THEN n_regional ELSE n_global END AS n_sector,
+  CASE WHEN n_regional >= {minimum} THEN 'sector+region' ELSE 'sector_global' END AS base_mediana
+FROM ratios r JOIN med_r USING (sector, region) JOIN med_g USING (sector)"""
+
+
 COMPONENTS = ("ingresos", "ebit", "ebitda", "net_income", "free_cash_flow", "total_debt_u", "cash_u", "equity_u")
 
 
@@ -215,11 +224,7 @@ SELECT *, CASE WHEN net_income > 0 THEN mc / net_income END AS per,
     "ratios": "SELECT *, 1e0 / NULLIF(ev_ebit, 0) AS earnings_yield, COALESCE(roic <= 1, FALSE) AS roic_fiable FROM ratios2",
     "med_r": "SELECT sector, region, MEDIAN(per) AS med_regional, COUNT(per) AS n_regional FROM ratios GROUP BY ALL",
     "med_g": "SELECT sector, MEDIAN(per) AS med_global, COUNT(per) AS n_global FROM ratios GROUP BY ALL",
-    "metricas": """
-SELECT r.*, CASE WHEN n_regional >= 5 THEN med_regional ELSE med_global END AS per_mediana_sector,
-  CASE WHEN n_regional >= 5 THEN n_regional ELSE n_global END AS n_sector,
-  CASE WHEN n_regional >= 5 THEN 'sector+region' ELSE 'sector_global' END AS base_mediana
-FROM ratios r JOIN med_r USING (sector, region) JOIN med_g USING (sector)""",
+    "metricas": peer_choice(S.THRESHOLDS["min_empresas_sector"]),
     "claves": f"SELECT *, {stripped_name('nombre')} AS clave FROM metricas",
     "empresas": """
 SELECT * EXCLUDE (rn) FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY clave, pais

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from valsieve import settings as S
 from valsieve.catalog import query
-from valsieve.catalog.oracle import reason_list, stripped_name
+from valsieve.catalog.oracle import peer_choice, reason_list, stripped_name
 from valsieve.catalog.tables import CAP_FLOOR
 from valsieve.functions.text import company_key
-from valsieve.operators import listings, metrics, ordering, ranking, screen, summaries
+from valsieve.operators import integrity, listings, metrics, ordering, ranking, screen, summaries
 from valsieve.plans.analysis import analyze
+from valsieve.session import stage_table
 
 
 def evaluated(t):
@@ -61,11 +62,12 @@ SCENARIOS = {
 
 
 @query("threshold_overrides", " UNION ALL ".join(
-    f"SELECT '{name}' AS escenario, ticker, {reason_list(o)} AS motivos, {reason_list(o)} = '' AS pasa FROM metricas"
+    f"SELECT '{name}' AS escenario, ticker, base_mediana, n_sector, {reason_list(o)} AS motivos, {reason_list(o)} = '' AS pasa "
+    f"FROM ({peer_choice({**S.THRESHOLDS, **o}['min_empresas_sector'])})"
     for name, o in SCENARIOS.items()))
 def threshold_overrides(t):
-    out = screen.screen_scenarios(metrics.compute_metrics(t.observations()), SCENARIOS)
-    return out.select("escenario", "ticker", codes(), "pasa")
+    out = screen.screen_scenarios(t.observations(), SCENARIOS)
+    return out.select("escenario", "ticker", "base_mediana", "n_sector", codes(), "pasa")
 
 
 @query("rank_average", """
@@ -164,7 +166,7 @@ CONTROL = """SELECT CAST((SELECT COUNT(*) FROM metricas) AS BIGINT) AS tickers_s
 
 def control(t):
     e = evaluated(t)
-    return summaries.run_control(e, t.listing())
+    return summaries.run_control(e, t.fundamentals(), requested=t.listing())
 
 
 @query("run_control_row", CONTROL)
@@ -172,18 +174,41 @@ def run_control_row(t):
     return control(t).withColumn("tasa_exito_descarga", F.round("tasa_exito_descarga", 6))
 
 
-@query("integrity_gate", """
-SELECT *, tickers_duplicados = 0 AND brutos_cuadran AND deduplicados_cuadran AND calidad_cuadra AND exito_suficiente AS valida FROM (
-SELECT CAST((SELECT COUNT(*) FROM (SELECT ticker FROM evaluadas GROUP BY ticker HAVING COUNT(*) > 1)) AS BIGINT) AS tickers_duplicados,
- (SELECT COUNT(*) FROM metricas) = (SELECT COUNT(*) FROM listing) AND (SELECT COUNT(*) FROM listing) > 0 AS brutos_cuadran,
- (SELECT COUNT(*) FROM evaluadas) <= (SELECT COUNT(*) FROM metricas) AS deduplicados_cuadran,
- (SELECT COUNT(*) FROM evaluadas WHERE calidad_datos IN ('ok', 'revisar', 'inutilizable', 'error')) = (SELECT COUNT(*) FROM evaluadas) AS calidad_cuadra,
- (SELECT COUNT(*) FROM metricas WHERE error_descarga = '') >= 0.8 * (SELECT COUNT(*) FROM metricas) AS exito_suficiente)""")
-def integrity_gate(t):
-    from valsieve.operators import integrity
+def gate_sql(run: str, evaluated: str, obtained: str) -> str:
+    """The checks of one run: ``obtained`` and ``evaluated`` select from metricas and evaluadas."""
+    return f"""
+SELECT '{run}' AS ejecucion, *, tickers_duplicados = 0 AND brutos_cuadran AND deduplicados_cuadran AND calidad_cuadra AND exito_suficiente AS valida FROM (
+SELECT CAST((SELECT COUNT(*) FROM (SELECT ticker FROM ({evaluated}) GROUP BY ticker HAVING COUNT(*) > 1)) AS BIGINT) AS tickers_duplicados,
+ (SELECT COUNT(*) FROM ({obtained})) = (SELECT COUNT(*) FROM listing) AND (SELECT COUNT(*) FROM listing) > 0 AS brutos_cuadran,
+ (SELECT COUNT(*) FILTER (WHERE clave = '') + COUNT(DISTINCT CASE WHEN clave <> '' THEN [clave, pais] END)
+  FROM (SELECT {stripped_name('nombre')} AS clave, pais FROM ({obtained}))) = (SELECT COUNT(*) FROM ({evaluated})) AS deduplicados_cuadran,
+ (SELECT COUNT(*) FROM ({evaluated}) WHERE calidad_datos IN ('ok', 'revisar', 'inutilizable', 'error')) = (SELECT COUNT(*) FROM ({evaluated})) AS calidad_cuadra,
+ (SELECT COUNT(*) FROM ({obtained}) WHERE error_descarga = '') >= 0.8 * (SELECT COUNT(*) FROM listing) AS exito_suficiente)"""
 
-    e = evaluated(t)
-    return integrity.gate(e, summaries.run_control(e, t.listing()))
+
+#: A whole run; one whose failed downloads were lost on the way; one whose rejected rows were.
+GATED_RUNS = {
+    "completa": ("SELECT * FROM evaluadas", "SELECT * FROM metricas"),
+    "descargas_perdidas": ("SELECT * FROM evaluadas WHERE error_descarga = ''", "SELECT * FROM metricas WHERE error_descarga = ''"),
+    "filas_perdidas": ("SELECT * FROM evaluadas WHERE pasa", "SELECT * FROM metricas"),
+}
+
+
+@query("integrity_gate", " UNION ALL ".join(gate_sql(run, *sides) for run, sides in GATED_RUNS.items()))
+def integrity_gate(t):
+    asked, obtained = t.listing(), t.observations()
+    e = stage_table(screen.apply_screen(listings.dedup_listings(metrics.compute_metrics(obtained)), CAP_FLOOR_LIMITS), "evaluated")
+    delivered = F.col("error_descarga") == ""
+    runs = {
+        "completa": (e, obtained),
+        "descargas_perdidas": (e.where(delivered), obtained.where(delivered)),
+        "filas_perdidas": (e.where("pasa"), obtained),
+    }
+    checked = [
+        integrity.gate(kept, summaries.run_control(kept, got, requested=asked)).withColumn("ejecucion", F.lit(run))
+        for run, (kept, got) in runs.items()
+    ]
+    return checked[0].unionByName(checked[1]).unionByName(checked[2])
 
 
 @query("api_summary", """

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from valsieve import settings as S
@@ -112,12 +114,19 @@ SELECT '{label}' AS universo, ticker, region, sector, CAST(k AS INT) AS rank_buc
  FROM quotes q JOIN ({order}) o ON o.region = q.region JOIN sectores s ON s.sector = q.sector WHERE price >= 2 AND volume >= {VOLUME_FLOOR}) WHERE k <= {per_bucket}) WHERE v = 1"""
 
 
-@query("named_universes", named_sql("eurozona", "eurozona", 12, True) + " UNION ALL " + named_sql("nordicos", "nordicos", 40, False))
+NAMED = {"usa": (12, True), "espana": (12, True), "eurozona": (12, True), "nordicos": (40, False),
+         "europa_desarrollada": (5, True), "desarrollados_aproximado": (25, False)}
+
+
+@query("named_universes", " UNION ALL ".join(named_sql(name, name, *shape) for name, shape in NAMED.items()))
 def named_universes(t):
     quotes = t.quotes()
-    a = discovery.named_universe(quotes, "eurozona", 12, 2.0, VOLUME_FLOOR).withColumn("universo", F.lit("eurozona"))
-    b = discovery.named_universe(quotes, "nordicos", 40, 2.0, VOLUME_FLOOR, by_sector=False).withColumn("universo", F.lit("nordicos"))
-    return a.unionByName(b).select("universo", "ticker", "region", "sector", "rank_bucket")
+    lists = [
+        discovery.named_universe(quotes, name, places, 2.0, VOLUME_FLOOR, by_sector=by_sector)
+        .select(F.lit(name).alias("universo"), "ticker", "region", "sector", "rank_bucket")
+        for name, (places, by_sector) in NAMED.items()
+    ]
+    return reduce(DataFrame.unionByName, lists)
 
 
 def asset_sql(kind: str, labels: dict, regions) -> str:
@@ -323,14 +332,14 @@ def universe_checks(t):
 
 
 @query("mirror_differences", """
-SELECT CAST(posicion AS INT) AS posicion, ticker, CASE WHEN posicion % 4 = 1 THEN lower(ticker) ELSE ticker END AS espejo FROM (
- SELECT ticker, ROW_NUMBER() OVER (ORDER BY ro, so, rank_bucket) AS posicion FROM catalogo WHERE region = 'us') WHERE posicion % 4 = 1""")
+SELECT CAST(posicion AS INT) AS posicion, ticker, CASE WHEN region <> 'us' THEN NULL WHEN rank_bucket = 1 THEN lower(ticker) ELSE ticker END AS espejo FROM (
+ SELECT *, ROW_NUMBER() OVER (ORDER BY ro, so, rank_bucket) AS posicion FROM seleccion) WHERE region <> 'us' OR rank_bucket = 1""")
 def mirror_differences(t):
-    order = Window.partitionBy("region_descubrimiento").orderBy("sector_ord", "rank_bucket")
-    rows = t.catalog().where(F.col("region_descubrimiento") == "us").select(
-        F.row_number().over(order).alias("posicion"), "ticker")
-    mirror = rows.withColumn("ticker", F.when(F.col("posicion") % 4 == 1, F.lower("ticker")).otherwise(F.col("ticker")))
-    return universe.mirror_differences(rows, mirror)
+    """The whole selection against a mirror that stopped after the first market and changed first places."""
+    rows = universe.numbered(t.selected(t.catalog()))
+    stale = rows.where(F.col("region_descubrimiento") == "us")
+    mirror = stale.select("posicion", F.when(F.col("rank_bucket") == 1, F.lower("ticker")).otherwise(F.col("ticker")).alias("ticker"))
+    return universe.mirror_differences(rows.select("posicion", "ticker"), mirror)
 
 
 @query("universe_activate", f"""

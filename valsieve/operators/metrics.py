@@ -13,6 +13,9 @@ from valsieve.operators.ordering import grouped_median, value_counts
 from valsieve.session import sized
 
 TEXT_DEFAULTS = {"calidad_datos": "ok"}
+#: Both peer groups of a row, before a minimum decides between them.
+BOTH_MEDIANS = ["med_regional", "n_regional", "med_global", "n_global"]
+EVERY_REGION = ""  # stands beside the regions for a whole sector; no region has this name
 
 
 def with_defaults(fundamentals: DataFrame) -> DataFrame:
@@ -78,32 +81,44 @@ def sector_medians(counts: DataFrame) -> DataFrame:
 
 def with_peer_medians(metrics: DataFrame, min_peers: int = S.THRESHOLDS["min_empresas_sector"],
                       source: DataFrame | None = None) -> DataFrame:
-    """Peer P/E median by sector and region, or by sector when peers are few.
+    """Peer P/E median by sector and region, or by sector when peers are few."""
+    return (
+        with_both_medians(metrics, source).withColumns(chosen_median(F.lit(min_peers)))
+        .select(*metrics.columns, *S.PEER_COLUMNS)
+    )
+
+
+def with_both_medians(metrics: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """Add medians and sizes of both peer groups (``BOTH_MEDIANS``) to every row.
 
     ``source`` may name a narrower or already written copy of ``metrics`` to
-    count from; by default the metrics themselves are read again.  The medians
-    (a row per sector and region) are written before the join, so the metrics
-    are not shuffled by sector when the medians are small enough to broadcast.
+    count from; by default the metrics themselves are read again.  Valid P/E
+    values are counted once, and one pass finds the medians of both levels.  The
+    medians (a row per sector and region) are written before the join, so the
+    metrics are not shuffled by sector when the medians are small enough to
+    broadcast.
     """
-    counts = pe_counts(metrics if source is None else source)
-    peers = sized(
-        sector_region_medians(counts).toDF("sector", "region", "mediana", "n").unionByName(
-            sector_medians(counts).toDF("sector", "mediana", "n").withColumn("region", F.lit(None).cast("string"))),
-        "peers")
-    regional = peers.where(F.col("region").isNotNull()).toDF("sector", "region", "med_regional", "n_regional")
-    overall = peers.where(F.col("region").isNull()).drop("region").toDF("sector", "med_global", "n_global")
+    counts = sized(pe_counts(metrics if source is None else source), "pe-counts")
+    levels = counts.withColumn("region", F.explode(F.array("region", F.lit(EVERY_REGION))))
+    peers = sized(grouped_median(levels, ["sector", "region"], "per", "mediana", "n"), "peers")
+    whole = F.col("region") == EVERY_REGION
+    regional = peers.where(~whole).toDF("sector", "region", "med_regional", "n_regional")
+    overall = peers.where(whole).drop("region").toDF("sector", "med_global", "n_global")
     known = F.col("sector").isNotNull()
-    n_regional = F.when(known, F.coalesce(F.col("n_regional"), F.lit(0)))
-    n_global = F.when(known, F.coalesce(F.col("n_global"), F.lit(0)))
-    enough = F.coalesce(n_regional >= min_peers, F.lit(False))
-    joined = (
-        metrics.join(regional, ["sector", "region"], "left").join(overall, "sector", "left")
-    )
-    return joined.withColumns({
+    return metrics.join(regional, ["sector", "region"], "left").join(overall, "sector", "left").select(
+        *metrics.columns, "med_regional",
+        F.when(known, F.coalesce("n_regional", F.lit(0))).alias("n_regional"), "med_global",
+        F.when(known, F.coalesce("n_global", F.lit(0))).alias("n_global"))
+
+
+def chosen_median(min_peers: Column) -> dict[str, Column]:
+    """The peer columns: the region's group where it has ``min_peers``, else the sector's."""
+    enough = F.coalesce(F.col("n_regional") >= min_peers, F.lit(False))
+    return {
         "per_mediana_sector": F.when(enough, F.col("med_regional")).otherwise(F.col("med_global")),
-        "n_sector": F.when(enough, n_regional).otherwise(n_global),
+        "n_sector": F.when(enough, F.col("n_regional")).otherwise(F.col("n_global")),
         "base_mediana": F.when(enough, S.BASIS_REGIONAL).otherwise(S.BASIS_GLOBAL),
-    }).select(*metrics.columns, *S.PEER_COLUMNS)
+    }
 
 
 def compute_metrics(fundamentals: DataFrame, thresholds: Mapping = S.THRESHOLDS) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from valsieve import settings as S
 from valsieve.functions.cleaning import blank_to_empty, nan_to_null
+from valsieve.operators.metrics import chosen_median, ratios, with_both_medians
 
 
 class Rule(NamedTuple):
@@ -162,11 +163,13 @@ def apply_screen(metrics: DataFrame, thresholds: Mapping[str, Any] = S.THRESHOLD
     )
 
 
-def screen_scenarios(metrics: DataFrame, scenarios: Mapping[str, Mapping[str, Any]]) -> DataFrame:
-    """Screen every row under each named set of overrides, in one pass.
+def screen_scenarios(fundamentals: DataFrame, scenarios: Mapping[str, Mapping[str, Any]]) -> DataFrame:
+    """Metrics and verdict of every row under each named set of overrides, in one pass.
 
-    The number of scenarios is fixed by the caller; the rows are multiplied by
-    it, not joined.
+    Both peer medians are found once; every scenario's own peer minimum decides
+    which of them a row is held against, as if the scenario were run alone.  The
+    number of scenarios is fixed by the caller; the rows are multiplied by it,
+    not joined.
     """
     resolved = {name: resolve_thresholds(o) for name, o in scenarios.items()}
     options = F.array(*[
@@ -176,8 +179,12 @@ def screen_scenarios(metrics: DataFrame, scenarios: Mapping[str, Mapping[str, An
         ])
         for name, limits in resolved.items()
     ])
-    wide = metrics.withColumn("_s", F.explode(options))
     limits = {key: F.col(f"_s.{key}") for key in S.THRESHOLDS}
+    wide = (
+        with_both_medians(ratios(fundamentals)).withColumn("_s", F.explode(options))
+        .withColumns(chosen_median(limits["min_empresas_sector"]))
+        .select(*S.METRIC_COLUMNS, "_s")
+    )
     return (
         wide.withColumn("motivos", reason_codes(wide, limits))
         .withColumn("pasa", F.size("motivos") == 0)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from valsieve import settings as S
 from valsieve.functions.cleaning import blank_to_empty, has_text
+from valsieve.operators.listings import dedup_listings
+from valsieve.operators.metrics import with_defaults
 
 MISSING_LABEL = "(sin dato)"
 UNUSABLE = ["inutilizable", "error"]
@@ -36,30 +38,38 @@ def quality_counts(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), provider_list().alias("proveedores"))
 
 
-def run_control(evaluated: DataFrame, requested: DataFrame,
-                min_success: float = S.MIN_DOWNLOAD_SUCCESS) -> DataFrame:
+def run_control(evaluated: DataFrame, obtained: DataFrame, min_success: float = S.MIN_DOWNLOAD_SUCCESS,
+                requested: DataFrame | None = None) -> DataFrame:
     """The one-row control record: what was asked, obtained, kept, passed.
 
-    ``requested`` has one row per requested ticker with ``error_descarga``.
-    Both sides are one-row aggregates, put side by side as columns.
+    ``obtained`` has one row per delivered ticker with ``error_descarga``;
+    ``requested`` is the list of tickers that were asked for.  Without it the
+    delivered ones count as asked, and a lost ticker cannot be seen.  The number
+    of collapsed listings comes from ``obtained``, not from the evaluated rows
+    that it is there to check.  All sides are one-row aggregates, put side by
+    side as columns.
     """
     grade = F.coalesce(F.col("calidad_datos"), F.lit("inutilizable"))
-    asked = requested.agg(
-        F.count(F.lit(1)).alias("resultados_brutos"),
-        F.count_if(has_text("error_descarga")).alias("errores_descarga"))
+    one, rows = F.lit(1).alias("_one"), F.count(F.lit(1))
+    got = obtained.agg(
+        one, rows.alias("resultados_brutos"), F.count_if(has_text("error_descarga")).alias("errores_descarga"))
+    companies = dedup_listings(with_defaults(obtained)).agg(one, rows.alias("_companies"))
     kept = evaluated.agg(
-        F.count(F.lit(1)).alias("empresas_evaluadas"), F.count_if("pasa").alias("candidatas"),
+        one, rows.alias("empresas_evaluadas"), F.count_if("pasa").alias("candidatas"),
         provider_list().alias("proveedor_datos"),
         F.count_if(grade == "ok").alias("datos_ok"), F.count_if(grade == "revisar").alias("datos_revisar"),
         F.count_if(grade.isin(UNUSABLE)).alias("datos_inutilizables"))
-    both = asked.withColumn("_one", F.lit(1)).join(kept.withColumn("_one", F.lit(1)), "_one")
+    sides = got.join(companies, "_one").join(kept, "_one")
+    if requested is None:
+        sides = sides.withColumn("tickers_solicitados", F.col("resultados_brutos"))
+    else:
+        sides = sides.join(requested.agg(one, rows.alias("tickers_solicitados")), "_one")
     correct = F.col("resultados_brutos") - F.col("errores_descarga")
-    return both.select(
-        F.col("resultados_brutos").alias("tickers_solicitados"), "resultados_brutos",
-        correct.alias("descargas_correctas"), "errores_descarga",
-        (F.col("resultados_brutos") - F.col("empresas_evaluadas")).alias("deduplicados"),
+    return sides.select(
+        "tickers_solicitados", "resultados_brutos", correct.alias("descargas_correctas"), "errores_descarga",
+        (F.col("resultados_brutos") - F.col("_companies")).alias("deduplicados"),
         "empresas_evaluadas", "candidatas",
-        F.try_divide(correct, F.col("resultados_brutos")).alias("tasa_exito_descarga"),
+        F.try_divide(correct, F.col("tickers_solicitados")).alias("tasa_exito_descarga"),
         F.lit(float(min_success)).alias("umbral_exito_minimo"), "proveedor_datos",
         "datos_ok", "datos_revisar", "datos_inutilizables")
 

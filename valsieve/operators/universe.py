@@ -271,6 +271,24 @@ def registry_violations(versions: DataFrame, universe_members: DataFrame, active
     return own.unionByName(repeated("universe_id", "id_repetido")).unionByName(repeated("path", "ruta_repetida")).unionByName(active)
 
 
+def numbered(members: DataFrame) -> DataFrame:
+    """Add ``posicion``, the 1-based place of every member in canonical order.
+
+    Members are numbered inside their bucket and moved by the members of earlier
+    buckets; only the bucket counts, bounded by regions times sectors, meet in
+    one task.
+    """
+    bucket = CANONICAL[:2]
+    earlier = Window.orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = members.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n")).select(
+        *bucket, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*bucket).orderBy(*CANONICAL[2:]))
+    return (
+        members.withColumn("_place", inside).join(offsets, bucket)
+        .withColumn("posicion", (F.col("_before") + F.col("_place")).cast("int")).drop("_before", "_place")
+    )
+
+
 def mirror_differences(ordered_members: DataFrame, mirror: DataFrame) -> DataFrame:
     """Positions at which the mirror list differs from the active members.
 

@@ -19,7 +19,7 @@ def payload(analysis: Analysis, fundamentals: DataFrame, requested: DataFrame |
     asked tickers, by default those evaluated.
     """
     spark = fundamentals.sparkSession
-    control = summaries.run_control(analysis.evaluated, fundamentals)
+    control = summaries.run_control(analysis.evaluated, fundamentals, requested=requested)
     header = spark.range(1).select(
         F.lit(SCHEMA_VERSION).alias("schema_version"),
         F.struct(*[F.lit(v).alias(k) for k, v in analysis.thresholds.items()]).alias("thresholds"))

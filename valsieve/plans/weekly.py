@@ -28,17 +28,19 @@ def run_weekly(fundamentals: DataFrame, journal_path: str, runs_path: str, momen
                universe: Mapping[str, str] | None = None, official: bool = False, active: bool = False,
                origin: str = "local", thresholds: Mapping[str, Any] | None = None,
                secondary: DataFrame | None = None, verification_path: str | None = None,
-               run_identity: Mapping[str, str] | None = None) -> WeeklyRun:
+               run_identity: Mapping[str, str] | None = None,
+               requested: DataFrame | None = None) -> WeeklyRun:
     """Nothing is written when the integrity gate rejects the run.
 
     ``universe`` carries universe_id, universe_sha256 and universe_path; only
-    the active universe may back an official run.  A failing verification is
+    the active universe may back an official run.  ``requested`` lists the tickers
+    that were asked for; a run that lost some of them is rejected.  A failing verification is
     reported and never changes the recorded result.
     """
     if official and not active:
         raise UniverseError("an official run needs the active universe")
     analysis = analyze(fundamentals, thresholds)
-    control = summaries.run_control(analysis.evaluated, fundamentals)
+    control = summaries.run_control(analysis.evaluated, fundamentals, requested=requested)
     integrity.require_valid(analysis.evaluated, control)
     spark = fundamentals.sparkSession
     identity = spark.range(1).select(snapshot_id(F.lit(moment).cast("timestamp")).alias("id")).first()["id"]
