@@ -2,6 +2,7 @@ from test_signals import LAYOUT, UTC, expected_entries, journal, random_historie
 
 from pyspark.sql import functions as F
 
+from valsieve.operators.journal import of_snapshots
 from valsieve.streaming.journal import stream_journal
 from valsieve.streaming.signals import stream_signals
 
@@ -42,3 +43,7 @@ def test_stream_journal_appends_once(spark, tmp_path):
     stream_journal(rows, target, str(tmp_path / "ckpt"), True).awaitTermination(300)
     stored = spark.read.parquet(target)
     assert stored.count() == 4 and stored.where("snapshot_id = 'snap_nuevo'").count() == 1
+    new = stored.where("snapshot_id = 'snap_nuevo'")
+    seen = of_snapshots(stored, new)
+    assert seen.count() == 1
+    assert "dynamicpruning" in seen._jdf.queryExecution().executedPlan().toString()

@@ -54,8 +54,18 @@ def effective_journal(journal: DataFrame, runs: DataFrame, week: str = "semana_i
     The ids, one per run on file, are written first: the journal is then
     filtered by a broadcast instead of being shuffled by snapshot.
     """
-    ids = sized(effective_snapshots(journal, runs, week).select("snapshot_id"), "effective")
-    return journal.join(ids, "snapshot_id", "left_semi")
+    return of_snapshots(journal, effective_snapshots(journal, runs, week))
+
+
+def of_snapshots(stored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``stored`` whose snapshot occurs in ``wanted``.
+
+    The ids are written first, so Spark knows their size.  It derives a partition
+    filter only from a side that itself filters; the comparison, true for every
+    id, is there for that: other snapshots' folders are then not read.
+    """
+    ids = sized(wanted.select("snapshot_id").where(F.col("snapshot_id").isNotNull()).distinct(), "snapshots")
+    return stored.join(ids.where(F.col("snapshot_id") >= ""), "snapshot_id", "left_semi")
 
 
 def latest_snapshot(journal: DataFrame) -> DataFrame:

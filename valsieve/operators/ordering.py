@@ -9,7 +9,6 @@ double range (``BUCKET_LIMIT``), not by the data.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,25 +111,31 @@ def descending_ranks(df: DataFrame, columns: Sequence[str], keys: Sequence[str]
     )
 
 
-def attach_descending_ranks(df: DataFrame, columns: dict[str, str],
-                            keys: Sequence[str] = ()) -> DataFrame:
+def whole_row(df: DataFrame) -> Column:
+    """All columns that can be ordered and hashed (maps cannot): a tie order that never depends on storage."""
+    return F.struct(*[f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
+
+
+def attach_descending_ranks(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Add the rank column ``columns[c]`` for every value column ``c``.
 
     The ranks, one row per distinct value, are written once and joined once per
-    column; Spark broadcasts them only when they are small.
+    column; Spark broadcasts them only when they are small.  All missing values
+    share one rank, read as a scalar; their rows match nothing and are spread by
+    a hash, so they do not meet in one task.
     """
-    ranks = sized(descending_ranks(df, list(columns), keys), "ranks")
-    out = df
+    ranks = sized(descending_ranks(df, list(columns)), "ranks")
+    names, out = list(df.columns), df.withColumn("_hash", F.xxhash64(whole_row(df)))
     for column, rank in columns.items():
-        side = ranks.where(F.col("measure") == column).select(
-            *[F.col(k).alias(f"_k_{k}") for k in keys],
-            F.col("value").alias("_value"), F.col("rank").alias(rank),
-        )
-        match = [out[k].eqNullSafe(side[f"_k_{k}"]) for k in keys]
-        match.append(out[column].eqNullSafe(side["_value"]))
-        condition = reduce(lambda a, b: a & b, match)
-        out = out.join(side, condition, "left").drop("_value", *[f"_k_{k}" for k in keys])
-    return out
+        own = ranks.where(F.col("measure") == column)
+        side = own.where(F.col("value").isNotNull()).select(
+            F.col("value").alias("_value"), F.lit(0).cast("bigint").alias("_zero"), F.col("rank").alias("_rank"))
+        missing = own.where(F.col("value").isNull()).select(F.max("rank")).scalar()
+        out = out.withColumn("_spread", F.when(F.col(column).isNull(), F.col("_hash")).otherwise(F.lit(0)))
+        out = out.join(side, (out[column] == side["_value"]) & (out["_spread"] == side["_zero"]), "left")
+        names.append(rank)
+        out = out.withColumn(rank, F.when(F.col(column).isNull(), missing).otherwise(F.col("_rank"))).select(*names, "_hash")
+    return out.drop("_hash")
 
 
 def positions(df: DataFrame, keys: Sequence[str], score: str, tie: Sequence[str],

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from valsieve import settings as S
 from valsieve.functions.cleaning import has_text, nan_to_null, text_bool
+from valsieve.operators.ordering import whole_row
 
 FROM_HERE = (Window.currentRow, Window.unboundedFollowing)
 AFTER_HERE = (1, Window.unboundedFollowing)
@@ -176,18 +177,19 @@ def signal_performance(signal_rows: DataFrame, prices: DataFrame, entry: str = "
 KEY = ["ticker", "fecha_entrada"]
 
 
-def chartable_history(tracking: DataFrame, minimum: int = 2, order: str | None = None) -> DataFrame:
+def chartable_history(tracking: DataFrame, minimum: int = 2, order: str = "fecha_calculo") -> DataFrame:
     """Signals with at least ``minimum`` observed returns, one per computation.
 
     ``order`` names the column that says which of two rows of the same
-    computation is the later one.
+    computation is the later one; rows that agree in it are told apart by all
+    their columns, so the choice never depends on how they are stored.
     """
     if minimum < 2:
         return tracking.limit(0)
     valid = tracking.where(
         F.col("ticker").isNotNull() & F.col("fecha_entrada").isNotNull()
         & F.col("fecha_calculo").isNotNull() & nan_to_null("retorno_total").isNotNull())
-    last = Window.partitionBy(*KEY, "fecha_calculo").orderBy(F.desc(order or "fecha_calculo"))
+    last = Window.partitionBy(*KEY, "fecha_calculo").orderBy(F.desc(order), whole_row(valid).desc())
     unique = valid.withColumn("_k", F.row_number().over(last)).where(F.col("_k") == 1).drop("_k")
     sizes = unique.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= minimum)
     return unique.join(sizes.select(*KEY), KEY, "left_semi")
@@ -195,7 +197,7 @@ def chartable_history(tracking: DataFrame, minimum: int = 2, order: str | None =
 
 def latest_per_signal(tracking: DataFrame, order: str = "fecha_calculo") -> DataFrame:
     """Newest row of every signal; missing keys form groups of their own."""
-    newest = Window.partitionBy(*KEY).orderBy(F.desc("fecha_calculo"), F.desc(order))
+    newest = Window.partitionBy(*KEY).orderBy(F.desc("fecha_calculo"), F.desc(order), whole_row(tracking).desc())
     return tracking.withColumn("_k", F.row_number().over(newest)).where(F.col("_k") == 1).drop("_k")
 
 

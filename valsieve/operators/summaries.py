@@ -11,6 +11,7 @@ from valsieve import settings as S
 from valsieve.functions.cleaning import blank_to_empty, has_text
 from valsieve.operators.listings import dedup_listings
 from valsieve.operators.metrics import with_defaults
+from valsieve.operators.ordering import whole_row
 
 MISSING_LABEL = "(sin dato)"
 UNUSABLE = ["inutilizable", "error"]
@@ -99,14 +100,17 @@ def candidate_fundamentals(fundamentals: DataFrame, evaluated: DataFrame) -> Dat
 
 
 def annual_view(fundamentals: DataFrame) -> DataFrame:
-    """Overlay the annual figures, where there are any, over the period ones."""
+    """Overlay the annual figures, where there are any, over the period ones.
+
+    Of repeated tickers the least row by all columns stays.
+    """
     has_annual = F.coalesce(F.size("comparables_anuales") > 0, F.lit(False))
     figures = {
         c: F.when(has_annual & F.map_contains_key("comparables_anuales", c), F.col("comparables_anuales")[c])
         .otherwise(F.col(c))
         for c in S.COMPARED_FIELDS if c in fundamentals.columns
     }
-    return (
+    overlaid = (
         fundamentals.withColumns({
             **figures,
             "proveedor_datos": F.when(has_annual, F.concat("proveedor_datos", F.lit("_anual"))).otherwise(F.col("proveedor_datos")),
@@ -115,5 +119,6 @@ def annual_view(fundamentals: DataFrame) -> DataFrame:
             "fecha_flujo_caja": F.when(has_annual, F.col("fecha_flujo_caja_anual")).otherwise(F.col("fecha_flujo_caja")),
         })
         .drop("comparables_anuales", "fecha_resultados_anual", "fecha_flujo_caja_anual")
-        .dropDuplicates(["ticker"])
     )
+    first = Window.partitionBy("ticker").orderBy(whole_row(overlaid))
+    return overlaid.withColumn("_k", F.row_number().over(first)).where(F.col("_k") == 1).drop("_k")

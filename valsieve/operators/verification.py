@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from valsieve import settings as S
 from valsieve.errors import VerificationError
 from valsieve.functions.cleaning import INFINITY, blank_to_empty, nan_to_null, safe_date, ticker_key
+from valsieve.operators.ordering import whole_row
 from valsieve.session import fixed_rows
 
 
@@ -155,9 +156,12 @@ def repeated_tickers(df: DataFrame) -> DataFrame:
     return df.groupBy("ticker").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
-def pending(new: DataFrame, existing: DataFrame, order: str | None = None) -> DataFrame:
-    """New rows whose key is not on file; of repeated new rows the last stays."""
-    last = Window.partitionBy(*S.VERIFICATION_KEYS).orderBy(F.desc(order or "verificado_en_utc"))
+def pending(new: DataFrame, existing: DataFrame, order: str = "verificado_en_utc") -> DataFrame:
+    """New rows whose key is not on file; of repeated new rows the last stays.
+
+    Rows that agree in ``order`` are told apart by all their columns.
+    """
+    last = Window.partitionBy(*S.VERIFICATION_KEYS).orderBy(F.desc(order), whole_row(new).desc())
     unique = new.withColumn("_k", F.row_number().over(last)).where(F.col("_k") == 1).drop("_k")
     return unique.join(existing.select(*S.VERIFICATION_KEYS), S.VERIFICATION_KEYS, "left_anti").select(*new.columns)
 

@@ -36,10 +36,15 @@ def typed(column: str, kind: T.DataType, words=tuple(S.TRUE_WORDS)) -> Column:
     return F.col(column)
 
 
-def read_text_table(spark: SparkSession, path: str, schema: T.StructType, words=tuple(S.TRUE_WORDS)) -> DataFrame:
-    """A CSV with header as declared types; older layouts lack columns."""
+def read_text_table(spark: SparkSession, path: str, schema: T.StructType, words=tuple(S.TRUE_WORDS),
+                    multiline: bool = False) -> DataFrame:
+    """A CSV with header as declared types; older layouts lack columns.
+
+    With ``multiline`` quoted cells may hold line breaks; each file is then read
+    by one task, otherwise Spark splits it.
+    """
     try:
-        raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        raw = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"').csv(path)
     except AnalysisException as error:
         if is_missing(error):
             return spark.createDataFrame([], schema)

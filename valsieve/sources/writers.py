@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from valsieve import schemas
 from valsieve import settings as S
 from valsieve.errors import DiscoveryError, IntegrityError, UniverseError, VerificationError
-from valsieve.functions.dates import iso_week
+from valsieve.functions.dates import iso_week, snapshot_id
 from valsieve.operators import integrity, verification
-from valsieve.operators.journal import audit_columns, next_revision, require_columns
+from valsieve.operators.journal import audit_columns, next_revision, of_snapshots, require_columns
 from valsieve.operators.output import json_rows
 from valsieve.sources import readers
 
@@ -31,16 +31,23 @@ def conform(df: DataFrame, schema) -> DataFrame:
 def append_journal(evaluated: DataFrame, path: str, moment: str, snapshot: str | None = None) -> DataFrame:
     """Append the rows of one snapshot under (week, snapshot) folders.
 
-    The check for an existing id only reads the folder of that snapshot.
+    The id follows from the instant, and the checks only read the folder of that
+    snapshot, so ``evaluated`` is computed once.  No rows leave no folder.
     """
+    spark = evaluated.sparkSession
+    if snapshot is None:
+        snapshot = spark.range(1).select(snapshot_id(F.lit(moment).cast("timestamp"))).first()[0]
+
+    def recorded() -> bool:
+        on_file = readers.read_journal(spark, path).where(F.col("snapshot_id") == snapshot)
+        return on_file.select("snapshot_id").first() is not None
+
+    if recorded():
+        raise IntegrityError(f"snapshot {snapshot} is already in {path}")
     rows = conform(audit_columns(evaluated, moment, snapshot), schemas.JOURNAL)
-    identity = rows.select("snapshot_id").first()
-    if identity is None:
-        raise IntegrityError("there are no rows to record")
-    known = readers.read_journal(rows.sparkSession, path)
-    if known.where(F.col("snapshot_id") == identity["snapshot_id"]).select("snapshot_id").first() is not None:
-        raise IntegrityError(f"snapshot {identity['snapshot_id']} is already in {path}")
     rows.write.mode("append").partitionBy("semana_iso", "snapshot_id").parquet(path)
+    if not recorded():
+        raise IntegrityError("there are no rows to record")
     return rows
 
 
@@ -76,11 +83,15 @@ def append_tracking(performance: DataFrame, path: str, moment: str) -> DataFrame
 
 
 def append_verification(new: DataFrame, path: str) -> DataFrame:
-    """Append only unseen keys, so repeating a run changes nothing."""
+    """Append only unseen keys, so repeating a run changes nothing.
+
+    The table has a folder per snapshot; only those of ``new`` are read.
+    """
     if new.columns != S.VERIFICATION_COLUMNS:
         raise VerificationError("not the verification layout")
-    existing = readers.read_verification(new.sparkSession, path)
-    conform(verification.pending(new, existing), schemas.VERIFICATION).write.mode("append").parquet(path)
+    existing = of_snapshots(readers.read_verification(new.sparkSession, path), new)
+    rows = conform(verification.pending(new, existing), schemas.VERIFICATION)
+    rows.write.mode("append").partitionBy("snapshot_id").parquet(path)
     return readers.read_verification(new.sparkSession, path)
 
 
@@ -118,8 +129,8 @@ def registry_exists(spark, path: str) -> bool:
 
 
 def write_ticker_list(members: DataFrame, path: str, *order: str) -> None:
-    """One ticker per line in order; a universe is bounded by its quotas."""
-    members.orderBy(*(order or ("ticker",))).select("ticker").coalesce(1).write.mode("overwrite").text(path)
+    """One ticker per line; part files in name order hold the list in order."""
+    members.orderBy(*(order or ("ticker",))).select("ticker").write.mode("overwrite").text(path)
 
 
 def write_discovery(catalog: DataFrame, control: DataFrame, folder: str, discovery_id: str) -> None:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from valsieve.operators.journal import of_snapshots
 from valsieve.sources import readers
 
-
 KEYS = ["snapshot_id", "ticker"]
 
 
@@ -21,7 +21,8 @@ def append_batch(path: str):
     def write(batch: DataFrame, epoch: int) -> None:
         known = readers.read_table(batch.sparkSession, path, batch.schema)
         unique = batch.dropDuplicates(KEYS)
-        new = unique.join(known.select(*KEYS), KEYS, "left_anti").select(*batch.columns)
+        seen = of_snapshots(known.select(*KEYS), batch)
+        new = unique.join(seen, KEYS, "left_anti").select(*batch.columns)
         new.write.mode("append").partitionBy("semana_iso", "snapshot_id").parquet(path)
 
     return write
