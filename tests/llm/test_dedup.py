@@ -129,6 +129,17 @@ def test_near_duplicates_of_repeated_rows_and_no_rows(spark):
     assert jaccard_join.keep_one(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_without_ids_are_linked(spark):
+    base = prose(200, 7).split()
+    texts = [" ".join(base), " ".join(base[:198] + ["x", "y"]), " ".join(base[3:]), "other words of no group at all"]
+    docs = frame(spark, texts, [None, None, 8, None])
+    got = jaccard_join.near_duplicates(docs).collect()
+    assert sorted(r.n_links for r in got) == [0, 2, 2, 2]
+    assert {r.class_id for r in got if r.n_links} == {8}
+    kept = [(r.doc_id, r.text) for r in jaccard_join.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == [(8, texts[2]), (None, texts[3])]
+
+
 def test_bands_reach_the_recall():
     bands, rows = jaccard_join.choose_bands(0.8, 0.99, 128)
     assert 1 - (1 - 0.8 ** rows) ** bands >= 0.99

@@ -320,8 +320,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     if members is None:
         named = named.withColumns({"component": F.col("node"), "n_links": F.lit(0).cast("bigint")})
     else:
-        meeting = members.join(candidate_sets(docs, members, bands, height), ["doc_id", "row_hash"])
-        meeting = meeting.select("band", "bucket", "low", "high", "node", "own", "bands", "set")
+        sets = candidate_sets(docs, members, bands, height).withColumnsRenamed({"doc_id": "set_id", "row_hash": "set_hash"})
+        same = members.doc_id.eqNullSafe(sets.set_id) & (members.row_hash == sets.set_hash)  # ids may be missing
+        meeting = members.join(sets, same).select("band", "bucket", "low", "high", "node", "own", "bands", "set")
         group = ["band", "bucket", "low", "high"]
         dealt = meeting.repartition(*group).sortWithinPartitions(*group, "node")
         links = stage(dealt.mapInArrow(lambda b: verify_batches(b, similarity), "node bigint, root bigint, links bigint"), "links")
