@@ -244,7 +244,6 @@ def fit_weights(rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, width
     if not 0 < labels.sum() < len(labels) or not width:
         return weights
     weight = np.where(labels > 0, TOXIC_WEIGHT, 1.0) / n
-    weight = np.where(labels > 0, TOXIC_WEIGHT, 1.0) / n
     mean, square, penalty = np.zeros(width + 1), np.zeros(width + 1), 0.002 / n
     for step in range(1, steps + 1):
         logits = np.bincount(rows, weights=weights[columns], minlength=len(labels)) + weights[-1]
