@@ -40,6 +40,13 @@ def test_period_and_series_rules(spark):
     assert got["C"]["fecha_resultados"] == dt.date(2025, 12, 31)
 
 
+def test_normalising_takes_one_scan_and_one_shuffle(spark, tmp_path):
+    statement_table(spark, [("A", "balance", "ANUAL", "Cash", "2025-12-31", 3.0)]).write.parquet(str(tmp_path / "s"))
+    plan = statements.normalize(spark.read.parquet(str(tmp_path / "s")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange SinglePartition" not in plan
+
+
 def test_unpivot(spark):
     wide = spark.createDataFrame([("A", "EBIT", 1.0, 2.0)], "ticker string, concept string, `2025-12-31` double, `2024-12-31` double")
     rows = readers.unpivot_statements(wide, ["ticker", "concept"]).collect()
