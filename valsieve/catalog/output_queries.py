@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from valsieve import settings as S
 from valsieve.catalog import query
-from valsieve.catalog.screen_queries import evaluated
 from valsieve.catalog.tables import CAP_FLOOR
 from valsieve.functions.text import venue_symbol
-from valsieve.operators import journal, output
+from valsieve.operators import journal, listings, metrics, output, screen
 from valsieve.plans.analysis import analyze
 
 SUFFIXES = [".MC", ".DE", ".AS", ".L", ""]
@@ -66,10 +65,57 @@ def candidate_brief_bundle(t):
     return rows.select("snapshot_id", "posicion", F.when(F.col("posicion") == 0, title).otherwise(F.col("texto")).alias("texto"))
 
 
-@query("reason_text")
+LIMITS = {**S.THRESHOLDS, **CAP_FLOOR}
+NUMBERS = ["per", "per_mediana_sector", "ev_ebit", "deuda_ebitda", "cobertura_int"]
+SHARES = ["fcf_yield", "roic", "margen_op", "cagr_ingresos"]
+
+
+def reasons_sql() -> str:
+    """The sentences of the failed rules, in their order."""
+    def rule(column, label, name, passes, limit, share=False):
+        fails = {"<": ">=", ">": "<=", ">=": "<"}[passes]
+        value = f"printf('%.1f%%', {column} * 100)" if share else f"printf('%.1f', {column})"
+        shown = f"{limit * 100:.0f}%" if share else str(limit)
+        return (f"CASE WHEN {column} IS NULL THEN '{label}: sin dato' WHEN {column} {fails} {limit} "
+                f"THEN concat('{name} ', {value}, ' {fails} {shown}') END")
+
+    floor = LIMITS["market_cap_eur_min"]
+    parts = [
+        "CASE WHEN error_descarga <> '' THEN concat('descarga: ', error_descarga) END",
+        "CASE WHEN calidad_datos <> 'ok' THEN concat('calidad de datos ', calidad_datos) END",
+        "CASE WHEN NOT divisa_consistente THEN 'divisas de cotización y estados financieros incompatibles' END",
+        rule("per", "PER", "PER", "<", LIMITS["per_max"]),
+        f"CASE WHEN n_sector >= {LIMITS['min_empresas_sector']} THEN CASE WHEN per IS NULL OR per_mediana_sector IS NULL THEN 'PER vs sector: sin dato' "
+        "WHEN per >= per_mediana_sector THEN concat('PER ', printf('%.1f', per), ' >= mediana sector ', printf('%.1f', per_mediana_sector)) END END",
+        rule("ev_ebit", "EV/EBIT", "EV/EBIT", "<", LIMITS["ev_ebit_max"]),
+        rule("fcf_yield", "FCF yield", "FCF yield", ">", LIMITS["fcf_yield_min"], True),
+        rule("roic", "ROIC", "ROIC", ">", LIMITS["roic_min"], True),
+        rule("margen_op", "Margen op.", "margen operativo", ">", LIMITS["margen_op_min"], True),
+        rule("deuda_ebitda", "Deuda/EBITDA", "deuda neta/EBITDA", "<", LIMITS["deuda_ebitda_max"]),
+        rule("cobertura_int", "Cobertura int.", "cobertura intereses", ">", LIMITS["cobertura_intereses_min"]),
+        rule("cagr_ingresos", "Crec. ingresos", "CAGR ingresos", ">=", LIMITS["crecimiento_ingresos_min"], True),
+        f"CASE WHEN market_cap_eur IS NULL THEN 'Capitalización EUR: sin dato' WHEN market_cap_eur <= {floor} THEN "
+        f"concat('capitalización ', printf('%.2f', market_cap_eur / 1e9), 'B EUR < {floor / 1e9:.1f}B EUR') END",
+    ]
+    return "concat_ws('; ', " + ", ".join(parts) + ")"
+
+
+# Values with as many decimals as are shown, so that rendering never meets a tie.
+SHORT = {"cortas": f"""
+SELECT * REPLACE ({', '.join(
+    [f'FLOOR(ROUND({c}, 6) * 10 + 1e-3) / 10 AS {c}' for c in NUMBERS] + [f'FLOOR(ROUND({c}, 6) * 1000 + 1e-3) / 1000 AS {c}' for c in SHARES]
+    + ['FLOOR(ROUND(market_cap_eur / 1e7, 6) + 1e-3) * 1e7 AS market_cap_eur'])}) FROM empresas"""}
+
+
+@query("reason_text", f"SELECT ticker, {reasons_sql()} = '' AS pasa, {reasons_sql()} AS motivos_descarte FROM cortas", SHORT)
 def reason_text(t):
-    """Rendered reasons; their codes are checked by ``screen_reasons``."""
-    return evaluated(t).select("ticker", "pasa", "motivos_descarte")
+    """Rendered reasons of values with few decimals."""
+    companies = listings.dedup_listings(metrics.compute_metrics(t.observations()))
+    short = companies.withColumns({
+        **{c: F.floor(F.round(c, 6) * 10 + 1e-3).cast("double") / 10 for c in NUMBERS},
+        **{c: F.floor(F.round(c, 6) * 1000 + 1e-3).cast("double") / 1000 for c in SHARES},
+        "market_cap_eur": F.floor(F.round(F.col("market_cap_eur") / 1e7, 6) + 1e-3).cast("double") * 1e7})
+    return screen.apply_screen(short, LIMITS).select("ticker", "pasa", "motivos_descarte")
 
 
 @query("export_history_json", """
@@ -95,8 +141,19 @@ def api_records(t):
     return parsed.select("j.*")
 
 
-@query("write_screen_rows")
+ROUNDED = ["market_cap", "market_cap_eur", *[c for c in S.RATIO_COLUMNS if c not in ("roic_fiable", "region")], "per_mediana_sector"]
+PUBLISHED = [c for c in S.METRIC_COLUMNS if c not in ROUNDED and c not in ("fecha_consulta_utc", "incidencias_datos")]
+#: Numbers inside the sentences are left out: their values are columns of their own.
+NUMBER = "[0-9]+[.][0-9]+"
+
+
+@query("write_screen_rows", f"""
+SELECT {', '.join(PUBLISHED)}, '' AS fecha_consulta_utc, '' AS incidencias_datos, {', '.join(f'ROUND(LEAST({c}, 1e15), 6) AS {c}' for c in ROUNDED)},
+ pasa, regexp_replace({reasons_sql()}, '{NUMBER}', '#', 'g') AS motivos_descarte, rank_roic, rank_ey, puntuacion FROM rankeadas""")
 def write_screen_rows(t):
     """The published table: every company with metrics, verdict, reasons, ranks."""
-    return analyze(t.observations(), CAP_FLOOR).ranked.select(
-        *[c for c in S.METRIC_COLUMNS], "pasa", "motivos_descarte", "rank_roic", "rank_ey", "puntuacion")
+    ranked = analyze(t.observations(), CAP_FLOOR).ranked
+    return ranked.select(
+        *PUBLISHED, *[F.coalesce(c, F.lit("")).alias(c) for c in ("fecha_consulta_utc", "incidencias_datos")],
+        *[F.round(F.least(F.col(c), F.lit(1e15)), 6).alias(c) for c in ROUNDED], "pasa",
+        F.regexp_replace("motivos_descarte", NUMBER, "#").alias("motivos_descarte"), "rank_roic", "rank_ey", "puntuacion")
