@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from valsieve.operators.journal import of_snapshots
 from valsieve.streaming.journal import stream_journal
-from valsieve.streaming.signals import stream_signals
+from valsieve.streaming.signals import process_batch, stream_signals
 
 
 def write_batches(df, folder, cuts):
@@ -34,6 +34,22 @@ def test_stream_signals_equal_batch(spark, tmp_path):
     assert query.exception() is None
 
 
+def test_state_takes_two_folders_and_a_repeated_epoch_changes_nothing(spark, tmp_path):
+    histories = random_histories(5)
+    rows = journal(spark, histories)
+    cuts = ["2025-02-01", "2025-03-10", "2025-06-01", "2025-08-01", "2100-01-01"]
+    run, low = process_batch(str(tmp_path / "out"), str(tmp_path / "state")), "1900-01-01"
+    for epoch, high in enumerate(cuts):
+        batch = rows.where((F.col("fecha_ejecucion") >= F.lit(low)) & (F.col("fecha_ejecucion") < F.lit(high)))
+        for _ in range(2):  # as after a restart before the commit
+            run(batch, epoch)
+        low = high
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["slot=0", "slot=1"]
+    found = spark.read.parquet(str(tmp_path / "out")).select("ticker", "fecha_ejecucion").collect()
+    got = [(r["ticker"], r["fecha_ejecucion"].replace(tzinfo=UTC)) for r in found]
+    assert len(got) == len(set(got)) and set(got) == expected_entries(histories)
+
+
 def test_stream_journal_appends_once(spark, tmp_path):
     df = journal(spark, {"A": [(0, True), (7, True)], "B": [(0, False)]}).withColumn("semana_iso", F.lit("2025-W02"))
     source, target = str(tmp_path / "in"), str(tmp_path / "journal")

@@ -37,20 +37,26 @@ def batch_episodes(state: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def process_batch(episodes_path: str, state_path: str):
-    """A ``foreachBatch`` function; every epoch writes its own folders.
+    """A ``foreachBatch`` function; every epoch writes its own episodes folder.
 
-    A repeated epoch overwrites the same folders with the same rows, so a
-    restart neither loses nor repeats an episode.
+    The state of an epoch goes to one of two folders in turn, so it takes the
+    room of two epochs however long the stream runs.  Only the newest epoch is
+    ever repeated; the state before it is in the other folder, and its own
+    folders are overwritten with the same rows, so a restart neither loses nor
+    repeats an episode.
     """
 
+    def state_of(epoch: int) -> str:
+        return f"{state_path}/slot={epoch % 2}"
+
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         if epoch > 0:
-            state = spark.read.schema(STATE_SCHEMA).parquet(f"{state_path}/epoch={epoch - 1}")
+            state = spark.read.schema(STATE_SCHEMA).parquet(state_of(epoch - 1))
         else:
             state = spark.createDataFrame([], STATE_SCHEMA)
         batch_episodes(state, batch).write.mode("overwrite").parquet(f"{episodes_path}/epoch={epoch}")
-        update_state(state, batch).write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}")
+        update_state(state, batch).write.mode("overwrite").parquet(state_of(epoch))
 
     return run
 
