@@ -1,10 +1,12 @@
 import random
 import statistics
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from valsieve.operators import ordering
+from valsieve.session import stage_table, staging_scope
 
 
 def sample(seed, n=3000):
@@ -65,3 +67,14 @@ def test_bucket_is_monotone(spark):
     df = spark.createDataFrame([(v,) for v in [float("-inf"), *values, float("inf")]], "v double").coalesce(1)
     buckets = [r["b"] for r in df.select(ordering.value_bucket("v").alias("b")).collect()]
     assert buckets == sorted(buckets)
+
+
+def test_a_staging_scope_removes_only_its_own_tables(spark):
+    df = spark.range(5)
+    kept = stage_table(df, "kept")
+    with staging_scope(spark) as folder:
+        staged = stage_table(df, "inside")
+        with staging_scope(spark) as same:
+            assert same == folder
+        assert staged.count() == 5 and all(folder in f for f in staged.inputFiles())
+    assert not Path(folder).exists() and kept.count() == 5

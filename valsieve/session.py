@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +59,31 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+RUN_FOLDER: ContextVar[str | None] = ContextVar("run_folder", default=None)
+
+
+@contextmanager
+def staging_scope(spark: SparkSession) -> Iterator[str]:
+    """Tables staged inside share a folder of their own, which is removed at the end.
+
+    Results built inside read those tables, so they must be written before the
+    scope is left.  Without a scope staged tables stay until the folder is
+    cleared by its owner.  A scope within another is a part of it.
+    """
+    outer = RUN_FOLDER.get()
+    if outer is not None:
+        yield outer
+        return
+    folder = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    mark = RUN_FOLDER.set(folder)
+    try:
+        yield folder
+    finally:
+        RUN_FOLDER.reset(mark)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and read it.
 
@@ -63,7 +91,7 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     columns they need, and a lost executor re-reads files instead of
     recomputing the lineage.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{RUN_FOLDER.get() or shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
