@@ -3,9 +3,20 @@
 The weight of a document is its number of words.  Weights are summed by cell
 (source, language, topic), the table of cells is raked in turn to the wanted
 shares of sources, languages and topics, and a document stays with the
-probability of its cell: the raked weight over the present one, scaled so that
-the largest probability is 1.  The draw is a hash of the id, so it doesn't depend
-on how rows are stored, and equal runs keep equal documents.
+probability of its cell: the raked weight over the present one, scaled.  The draw
+is a hash of the id, so it doesn't depend on how rows are stored, and equal runs
+keep equal documents.
+
+The scale is one of two.
+
+* With ``share``, the sample has that part of all tokens (``sample`` has ``SAMPLE_SHARE``).  A
+  cell gives at most what it has: such cells stay whole, the others are raked
+  further until the margins hold, and a last scale meets the stated part.  A tiny
+  cell can't thin the rest.  A value that has fewer tokens than its target stays
+  whole, and the other values of its margin share what it lacks.
+* Without, the largest probability is 1 (``mix`` and the registered query): no cell
+  is short of its target, so the smallest cell for its target sets the size of
+  the sample, which can be far below the table's.
 
 Topics are the forms a text can take, told by fixed patterns (``topic_of``); a
 table with its own topics passes another expression.
@@ -33,6 +44,10 @@ ROUNDS = 12
 #: Rounds whose lineage is kept before the cells are written to the shared folder.
 ROUNDS_KEPT = 4
 FLATTEN = 0.9
+#: Part of all tokens that ``sample`` keeps.
+SAMPLE_SHARE = 0.6
+#: Steps of the scale at most; each finds further cells to be whole, so few are needed.
+SCALE_STEPS = 60
 #: Topic and the pattern that tells it, the first that matches counts.
 TOPICS = (
     ("table", r" \| "),
@@ -83,6 +98,52 @@ def shares(cells: DataFrame, margin: str, given: dict[str, float] | None, flatte
     return sums.join(F.broadcast(whole)).select(margin, F.coalesce(F.try_divide("raw", "whole"), F.lit(0.0)).alias("share"))
 
 
+def scale_of(rows: DataFrame, tokens: str, weight: str, wanted: float) -> float:
+    """The k whose min(tokens, k * weight) sum to ``wanted`` over all rows, or to all tokens with weight if these are fewer.
+
+    The sum is concave in k, so Newton's steps from below never pass it, and end when no further row gets whole.
+    """
+    k, before = 0.0, -1
+    for _ in range(SCALE_STEPS):
+        whole = (F.col(weight) > 0) & (F.lit(k) * F.col(weight) >= F.col(tokens))
+        r = rows.agg(
+            F.sum(whole.cast("bigint")).alias("rows"), F.sum(F.when(whole, F.col(tokens))).alias("full"),
+            F.sum(F.when(~whole, F.col(weight))).alias("open"), F.max(F.try_divide(F.when(~whole, F.col(tokens)).cast("double"), F.col(weight))).alias("end")).head()
+        if r.rows == before or not r.open:
+            break
+        # Beyond ``end`` every row is whole.
+        before, k = r.rows, min(max((wanted - float(r.full or 0)) / r.open, k), r.end)
+    return k
+
+
+def rake_whole(cells: DataFrame, targets: dict[str, dict[str, float]] | None, flatten: float, rounds: int, share: float) -> DataFrame:
+    """Cells with ``weight``, the tokens expected of them: at most those they have, and ``share`` of all in sum."""
+    targets = targets or {}
+    wanted = share * float(cells.agg(F.sum("tokens").alias("n")).head().n or 0)
+    now = cells.withColumn("weight", F.lit(share) * F.col("tokens"))
+    for margin in MARGINS:
+        column = f"m_{margin}"
+        sums = stage(shares(cells, column, targets.get(margin), flatten).join(cells.groupBy(column).agg(F.sum("tokens").alias("has")), column), "margin")
+        k = scale_of(sums, "has", "share", wanted)
+        now = now.join(sums.select(column, F.least(F.col("has").cast("double"), F.lit(k) * F.col("share")).alias(f"goal_{margin}")), column)
+    now = stage(now, "cells")
+    whole, most = F.col("weight") >= F.col("tokens"), F.col("tokens").cast("double")
+    for step in range(rounds):
+        for margin in MARGINS:
+            over, goal = f"OVER (PARTITION BY m_{margin})", F.col(f"goal_{margin}")
+            now = now.withColumns({
+                "held": F.expr(f"sum(weight) {over}"), "open": F.expr(f"sum(CASE WHEN weight < tokens THEN weight ELSE 0 END) {over}")})
+            rest = F.col("held") - F.col("open")
+            # Too much: all cells of the value give way.  Too little: those that aren't whole take the rest.
+            now = now.withColumn("weight", F.when(F.col("held") >= goal, F.col("weight") * F.coalesce(F.try_divide(goal, F.col("held")), F.lit(0.0))).when(
+                whole | (F.col("open") <= 0), F.col("weight")).otherwise(F.least(most, F.col("weight") * F.try_divide(goal - rest, F.col("open"))))).drop("held", "open")
+        if (step + 1) % ROUNDS_KEPT == 0:
+            now = stage(now, "raked")
+    now = stage(now, "raked")
+    k = scale_of(now, "tokens", "weight", wanted)
+    return now.select(*cells.columns, F.least(most, F.lit(k) * F.col("weight")).alias("weight"))
+
+
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, flatten: float = FLATTEN, rounds: int = ROUNDS) -> DataFrame:
     """Cells (m_source, m_lang, m_topic, tokens) with ``weight``, their raked share of all tokens."""
     targets = targets or {}
@@ -103,10 +164,19 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, f
     return now.select(*cells.columns, "weight")
 
 
-def probabilities(docs: DataFrame, targets=None, flatten: float = FLATTEN, rounds: int = ROUNDS, topic=topic_of) -> DataFrame:
-    """One row per cell: m_source, m_lang, m_topic, tokens, weight, probability."""
-    cells = with_margins(docs, topic).groupBy("m_source", "m_lang", "m_topic").agg(F.sum("m_words").alias("tokens"))
-    raked = rake(stage(cells, "counts"), targets, flatten, rounds)
+def probabilities(docs: DataFrame, targets=None, flatten: float = FLATTEN, rounds: int = ROUNDS, topic=topic_of, share: float | None = None) -> DataFrame:
+    """One row per cell: m_source, m_lang, m_topic, tokens, weight, probability.
+
+    ``weight`` is the raked share of all tokens, or with ``share`` the tokens expected in the sample.
+    """
+    if share is not None and not 0 < share <= 1:
+        raise ValueError("share must be above 0 and at most 1")
+    cells = stage(with_margins(docs, topic).groupBy("m_source", "m_lang", "m_topic").agg(F.sum("m_words").alias("tokens")), "counts")
+    if share is not None:
+        # Cells without tokens take nothing from any target: their documents stay.
+        raked = rake_whole(cells, targets, flatten, rounds, share)
+        return raked.withColumn("probability", F.least(F.lit(1.0), F.coalesce(F.try_divide("weight", "tokens"), F.lit(1.0))))
+    raked = rake(cells, targets, flatten, rounds)
     factor = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
     raked = stage(raked.withColumn("factor", factor), "factors")
     largest = raked.agg(F.max("factor").alias("largest"))
@@ -115,19 +185,20 @@ def probabilities(docs: DataFrame, targets=None, flatten: float = FLATTEN, round
         "m_source", "m_lang", "m_topic", "tokens", "weight", F.coalesce(F.try_divide("factor", "largest"), F.lit(1.0)).alias("probability"))
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, flatten: float = FLATTEN, rounds: int = ROUNDS, topic=topic_of) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, flatten: float = FLATTEN, rounds: int = ROUNDS, topic=topic_of,
+        share: float | None = None) -> DataFrame:
     """Every row of ``docs`` with topic, number of words, probability, and whether it is sampled.
 
     Cells are as many as combinations of margins occur; Spark broadcasts their
     written table where its size allows and shuffles otherwise.
     """
-    cells = stage(probabilities(docs, targets, flatten, rounds, topic).select("m_source", "m_lang", "m_topic", "probability"), "probabilities")
+    cells = stage(probabilities(docs, targets, flatten, rounds, topic, share).select("m_source", "m_lang", "m_topic", "probability"), "probabilities")
     named = with_margins(docs, topic).join(cells, ["m_source", "m_lang", "m_topic"], "left")
     return named.withColumn("sampled", draw_of(F.col("doc_id")) < F.col("probability"))
 
 
-def sample(docs: DataFrame, targets=None, flatten: float = FLATTEN, rounds: int = ROUNDS, topic=topic_of) -> DataFrame:
-    """The sampled rows of ``docs``, with their columns."""
+def sample(docs: DataFrame, targets=None, flatten: float = FLATTEN, rounds: int = ROUNDS, topic=topic_of, share: float | None = SAMPLE_SHARE) -> DataFrame:
+    """The sampled rows of ``docs``, with their columns: ``share`` of the tokens."""
     plain = numbered_columns(docs, "doc_id", "text", "source", "lang").withColumnsRenamed(
         {"_doc_id": "doc_id", "_text": "text", "_source": "source", "_lang": "lang"})
-    return named_back(mix(plain, targets, flatten, rounds, topic).where("sampled"), docs)
+    return named_back(mix(plain, targets, flatten, rounds, topic, share).where("sampled"), docs)
