@@ -42,3 +42,34 @@ def test_null_empty_and_no_rows(spark):
     got = html_text.extract(pages).collect()
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in got) == [("1", "", 0), ("1", "", 0), ("2", "é", 1), ("None", "", 0)]
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+ARTICLE = "<article><h1>T</h1><p>A paragraph of many words, long enough to count as text.</p></article>"
+LONG = "<p>A paragraph of many words, long enough to count as text.</p><div><p>And one more of them, of about the same length.</p></div>"
+
+
+def test_wrappers_with_marked_names_are_content():
+    names = ("content-area has-sidebar", "site no-sidebar", "layout-nav-left", "page-with-menu", "widget-area", "sidebar-layout", "search")
+    for name in names:
+        want = "T\nA paragraph of many words, long enough to count as text."
+        assert html_text.main_text(f"<body><div class='{name}'><div class=ad>buy</div>{ARTICLE}</div></body>") == want, name
+        nested = f"<body><a>Skip</a><div id=page class='{name}'><div class='{name}'>{ARTICLE}<div class=ad>buy</div></div></div></body>"
+        assert html_text.main_text(nested) == want, name
+        got = html_text.main_text(f"<body><a>Skip</a><div class='{name}'><div class=ad>buy</div>{LONG}</div></body>")
+        assert "A paragraph of many" in got and "And one more" in got and "buy" not in got, name
+
+
+def test_marked_elements_stay_out():
+    comments = "<div id=comments><article class=comment><p>I liked this page very much, it has many words.</p></article></div>"
+    related = "<div class='related-posts'><article><p>Short teaser</p></article></div>"
+    page = f"<body><div id=post>{LONG}</div>{related}{comments}</body>"
+    got = html_text.main_text(page)
+    assert "A paragraph of many" in got and "liked" not in got and "teaser" not in got
+    assert html_text.main_text(f"<body>{related}{ARTICLE}{comments}</body>") == "T\nA paragraph of many words, long enough to count as text."
+    assert html_text.main_text("<body><div class=ad>buy</div></body>") == ""
+
+
+def test_headings_and_short_cells_between_content():
+    prose = "A paragraph of many words, long enough to count as text, and then some more words. " * 4
+    page = f"<body><div><div><h1>T</h1></div><div>{prose}</div><div>yes</div><div>no</div><div>a</div><div>b</div><div>c</div><div>{prose}</div></div></body>"
+    assert html_text.main_text(page).split("\n") == ["T", prose.strip(), "yes", "no", "a", "b", "c", prose.strip()]
