@@ -1,6 +1,7 @@
 """Restored words, held-out accuracy and edge cases of the toxicity scores."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from valsieve.llm import toxicity
@@ -72,3 +73,26 @@ def test_fit_separates():
     rows, columns = np.array([0, 1, 2, 3]), np.array([0, 0, 1, 1])
     weights = toxicity.fit_weights(rows, columns, np.array([1, 1, 0, 0, 0, 0]), 2)
     assert weights[0] + weights[2] > 1 and weights[1] + weights[2] < -1
+
+
+def toy_decoder(words):
+    uses = np.zeros((toxicity.LETTERS,) * 3)
+    for word in words:
+        codes = [0, 0, *(ord(c) - 96 for c in word), 0]
+        for triple in zip(codes, codes[1:], codes[2:]):
+            uses[triple] += 10
+    return toxicity.Decoder(np.log((uses + 0.01) / (uses.sum(axis=2, keepdims=True) + 0.01 * toxicity.LETTERS)))
+
+
+def test_no_word_is_lost_in_long_pieces():
+    decoder = toy_decoder(["that", "word", "idiot"])
+    for n in range(8, 30):
+        piece = ".".join(["that"] * n + ["1d10t"] + ["w0rd"] * n)
+        assert decoder.restore(piece).split() == ["that"] * n + ["idiot"] + ["word"] * n
+        assert "idiot" in decoder.readings(piece)
+    for n in range(4, 12):  # letters set apart
+        text = " ".join("that" * n + "idiot" + "that" * 5)
+        _, found = toxicity.row_features(pa.RecordBatch.from_pydict({"text": [text]}), decoder, {})
+        assert "=idiot" in found
+    long = ".".join(["that", "1d10t"] * 20_000)
+    assert decoder.restore(long).split() == ["that", "idiot"] * 20_000

@@ -20,6 +20,7 @@ toxic labels.  Other columns of the documents are never inputs of a score.
 from __future__ import annotations
 
 import math
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,8 @@ LEET = {
 COST_LEET, COST_BREAK, COST_DROP = 0.5, (8.0, 3.0), (12.0, 1.5)
 COST_REPEAT, COST_SQUEEZE = 1.0, 0.5
 LONGEST = 64
+#: Characters after which the part that all readings of a lattice share is set aside.
+SETTLE = 64
 WORD = regex.compile(r"[\p{L}\p{M}]+")
 PLAIN = regex.compile(r"[\p{L}\p{M}]*\Z")
 TRIPLE = regex.compile(r"(\p{L})\1\1")
@@ -108,7 +111,11 @@ class Decoder:
 
     def choices(self, text: str) -> list[list[tuple[str, int, float]]]:
         """What each character may stand for: a letter, a break (" ") or nothing (""), with its cost."""
-        out, before = [], ""
+        return list(self.each_choice(text))
+
+    def each_choice(self, text: str):
+        """``choices`` one by one, so that a long text has no list of them."""
+        before = ""
         for c in text:
             if c.isalpha():
                 code = int(letter_code(np.int64(ord(c))))
@@ -120,16 +127,15 @@ class Decoder:
                 options = [(x, ord(x) - 96, COST_LEET + (1.0 if c == "*" else 0.0)) for x in likes]
                 plain = not likes or c in "|*"
                 options += [(" ", EDGE, COST_BREAK[plain]), ("", -1, COST_DROP[plain])]
-            out.append(options)
+            yield options
             before = c
-        return out
 
     def restore(self, text: str) -> str:
-        """The likeliest words behind ``text`` (lower case, without white space)."""
-        model = self.model
+        """The likeliest words behind ``text`` (lower case, without white space), however long it is."""
+        model, settled = self.model, []
         # State: the last two letters written (edges after a break); value: score and reading.
         states: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
-        for options in self.choices(text):
+        for at, options in enumerate(self.each_choice(text), 1):
             fresh: dict[tuple[int, int], tuple[float, str]] = {}
             for state, (score, read) in states.items():
                 a, b = state
@@ -144,8 +150,14 @@ class Decoder:
                     if to not in fresh or value > fresh[to][0]:
                         fresh[to] = (value, read + letter)
             states = fresh
+            if at % SETTLE == 0:
+                # Every way on begins with what all readings share, so they stay short.
+                shared = commonprefix([read for _, read in states.values()])
+                if shared:
+                    settled.append(shared)
+                    states = {state: (score, read[len(shared):]) for state, (score, read) in states.items()}
         ended = [(score + (model[a][b][EDGE] if b else 0.0), read) for (a, b), (score, read) in states.items()]
-        return " ".join(max(ended)[1].split())
+        return " ".join(("".join(settled) + max(ended)[1]).split())
 
     def readings(self, word: str) -> list[str]:
         """Plain words that a piece between white space stands for: as it is, and as its lattice reads."""
@@ -155,8 +167,7 @@ class Decoder:
         found = WORD.findall(word)
         if not found:
             return []
-        for start in range(0, len(word), LONGEST):
-            found += self.restore(word[start:start + LONGEST]).split()
+        found += self.restore(word).split()
         return list(dict.fromkeys(found))
 
 
@@ -208,8 +219,7 @@ def row_features(batch: pa.RecordBatch, decoder: Decoder, store: dict, wanted=No
             letters = [named[c].strip(TRIM + "!$") for c in codes[a:b].tolist()]
             joined = "".join(letters)
             words = {joined} if joined.isalpha() and len(joined) <= LONGEST else set()
-            for start in range(0, len(letters), LONGEST // 2):  # the lattice decides where words end
-                words.update(decoder.restore("_".join(letters[start:start + LONGEST // 2])).split())
+            words.update(decoder.restore("_".join(letters)).split())  # the lattice decides where words end
             extra = [f for w in words for f in features_of(w)]
             extra = extra if wanted is None else [wanted[f] for f in extra if f in wanted]
             found_rows += [int(rows[a])] * len(extra)
