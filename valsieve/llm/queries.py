@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from valsieve.llm import bpe, exact_dedup, html_text, jaccard_join, licences, maxent_lm, mixing, spotsigs, token_files, toxicity
+from valsieve.llm import bpe, exact_dedup, html_text, jaccard_join, licences, maxent_lm, mixing, periodic_runs, spotsigs, token_files, toxicity
 from valsieve.llm.common import table
 
 #: An id that the byte-level vocabulary leaves free.
@@ -121,3 +121,9 @@ def op10_mixing(spark, folder):
     """Calibrated probability of every document, and whether it is sampled."""
     mixed = mixing.mix(table(spark, folder, "documents"))
     return mixed.selectExpr("doc_id", "m_topic AS topic", "m_words AS n_words", "round(probability, 9) AS probability", "sampled")
+
+
+@query()
+def op12_periodic_runs(spark, folder):
+    """Runs of every document and the text without their repeats, as digests."""
+    return periodic_runs.marked_runs(table(spark, folder, "documents"))
