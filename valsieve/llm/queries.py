@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from valsieve.llm import bpe, exact_dedup, html_text, jaccard_join, licences, maxent_lm, mixing, periodic_runs, spotsigs, token_files, toxicity
+from valsieve.llm import bpe, chosen_path, exact_dedup, html_text, jaccard_join, licences, maxent_lm, mixing, periodic_runs, spotsigs, token_files, toxicity
 from valsieve.llm.common import table
 
 #: An id that the byte-level vocabulary leaves free.
@@ -127,3 +127,9 @@ def op10_mixing(spark, folder):
 def op12_periodic_runs(spark, folder):
     """Runs of every document and the text without their repeats, as digests."""
     return periodic_runs.marked_runs(table(spark, folder, "documents"))
+
+
+@query()
+def op13_chosen_path(spark, folder):
+    """Shingles and component of every document."""
+    return chosen_path.near_duplicates(table(spark, folder, "documents"))
