@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from valsieve.llm import bpe, chosen_path, exact_dedup, html_text, jaccard_join, licences, maxent_lm, mixing, periodic_runs, spotsigs, token_files, toxicity
+from valsieve.llm import ball_tree, bpe, chosen_path, exact_dedup, html_text, jaccard_join, licences, maxent_lm, mixing, periodic_runs, spotsigs, token_files, toxicity
 from valsieve.llm.common import table
 
 #: An id that the byte-level vocabulary leaves free.
@@ -123,6 +123,24 @@ def op10_mixing(spark, folder):
     return mixed.selectExpr("doc_id", "m_topic AS topic", "m_words AS n_words", "round(probability, 9) AS probability", "sampled")
 
 
+@query(r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+totals AS (SELECT count(*) AS docs, CAST(sum(len(words)) AS BIGINT) AS terms FROM d WHERE len(words) > 0),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(words) AS n, unnest(words) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, totals GROUP BY term),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term), totals GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+""")
+def op11_ball_tree(spark, folder):
+    """The ten best documents of every benchmark item."""
+    return ball_tree.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query()
 def op12_periodic_runs(spark, folder):
     """Runs of every document and the text without their repeats, as digests."""
