@@ -3,6 +3,7 @@ from test_signals import LAYOUT, UTC, expected_entries, journal, random_historie
 from pyspark.sql import functions as F
 
 from valsieve.operators.journal import of_snapshots
+from valsieve.streaming.episodes import stream_episodes
 from valsieve.streaming.journal import stream_journal
 from valsieve.streaming.signals import process_batch, stream_signals
 
@@ -63,3 +64,50 @@ def test_stream_journal_appends_once(spark, tmp_path):
     seen = of_snapshots(stored, new)
     assert seen.count() == 1
     assert "dynamicpruning" in seen._jdf.queryExecution().executedPlan().toString()
+
+
+def entries(spark, path):
+    rows = spark.read.parquet(path).select("ticker", "fecha_ejecucion").collect()
+    return [(r["ticker"], r["fecha_ejecucion"].replace(tzinfo=UTC)) for r in rows]
+
+
+def test_keyed_state_equals_batch_over_restarts(spark, tmp_path):
+    histories = random_histories(13)
+    source, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "ckpt"))
+    rows, low = journal(spark, histories), "1900-01-01"
+    for i, high in enumerate(["2025-02-10", "2025-05-01", "2025-08-01", "2100-01-01"]):
+        part = rows.where((F.col("fecha_ejecucion") >= F.lit(low)) & (F.col("fecha_ejecucion") < F.lit(high)))
+        part.coalesce(1).write.mode("append").parquet(f"{source}/{i:02d}")
+        query = stream_episodes(stream_of(spark, source), out, checkpoint, True)  # each part is a run of its own
+        query.awaitTermination(300)
+        assert query.exception() is None
+        low = high
+    got = entries(spark, out)
+    assert len(got) == len(set(got)) and set(got) == expected_entries(histories)
+
+
+def test_a_batch_writes_the_state_of_its_own_tickers(spark, tmp_path):
+    many = {f"T{i:03d}": [(0, i % 2 == 0)] for i in range(200)}
+    few = {"T000": [(0, True), (7, True)], "T001": [(0, False), (7, True)], "NEW": [(7, True)]}
+    source, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "ckpt"))
+    later = journal(spark, few)
+    later = later.where(F.col("fecha_ejecucion") > journal(spark, many).agg(F.max("fecha_ejecucion")).first()[0])
+    sizes = []
+    for name, part in (("00", journal(spark, many)), ("01", later)):
+        part.coalesce(1).write.parquet(f"{source}/{name}")
+        query = stream_episodes(stream_of(spark, source), out, checkpoint, True)
+        query.awaitTermination(300)
+        state = [p["stateOperators"][0] for p in query.recentProgress if p["numInputRows"]]
+        sizes.append((sum(s["numRowsUpdated"] for s in state), state[-1]["numRowsTotal"]))
+    assert sizes == [(200, 200), (3, 201)]
+    assert sorted(t for t, _ in entries(spark, out))[:3] == ["NEW", "T000", "T001"] and len(entries(spark, out)) == 102
+
+
+def test_rows_sent_again_and_rows_without_key_add_nothing(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "ckpt"))
+    rows = journal(spark, {"A": [(0, True), (7, False), (14, True)]})
+    blank = rows.limit(1).withColumn("ticker", F.lit(None).cast("string"))
+    for i in range(2):
+        rows.unionByName(blank).coalesce(1).write.parquet(f"{source}/{i:02d}")
+        stream_episodes(stream_of(spark, source), out, checkpoint, True).awaitTermination(300)
+    assert len(entries(spark, out)) == 2

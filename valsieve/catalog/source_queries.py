@@ -22,8 +22,8 @@ from valsieve.operators.output import json_rows
 from valsieve.plans.analysis import analyze
 from valsieve.session import shared_folder
 from valsieve.sources import readers, writers
+from valsieve.streaming.episodes import stream_episodes
 from valsieve.streaming.journal import stream_journal
-from valsieve.streaming.signals import stream_signals
 
 MOMENT = "2024-02-01 08:00:00"
 SNAPSHOT = "snap_20240201T080000000000Z"
@@ -203,14 +203,13 @@ def journal_stream_append(t):
 @query("signal_state_stream", "SELECT ticker, CAST(dia AS STRING) AS fecha_entrada, ROUND(per, 6) AS per FROM senales")
 def signal_state_stream(t):
     """Two runs of one stream: the second starts from the state of the first."""
-    source, out = place(t, "signals-in"), place(t, "signals-out")
-    state, checkpoint = place(t, "signals-state"), place(t, "signals-ckpt")
+    source, out, checkpoint = place(t, "signals-in"), place(t, "signals-out"), place(t, "signals-ckpt")
     rows = journal.effective_journal(t.journal(), t.runs(), "semana").drop("dia")
     half = F.lit("2024-01-16").cast("timestamp")
     for part in (rows.where(F.col("fecha_ejecucion") < half), rows.where(F.col("fecha_ejecucion") >= half)):
         part.write.mode("append").parquet(source)
         stream = t.spark.readStream.schema(rows.schema).parquet(source)
-        stream_signals(stream, out, state, checkpoint, available_now=True).awaitTermination()
+        stream_episodes(stream, out, checkpoint, available_now=True).awaitTermination()
     found = t.spark.read.parquet(out)
     return found.select("ticker", F.to_date("fecha_ejecucion").cast("string").alias("fecha_entrada"), r6("per"))
 
