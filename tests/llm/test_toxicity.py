@@ -96,3 +96,49 @@ def test_no_word_is_lost_in_long_pieces():
         assert "=idiot" in found
     long = ".".join(["that", "1d10t"] * 20_000)
     assert decoder.restore(long).split() == ["that", "idiot"] * 20_000
+
+
+def test_repetitions_edges_and_digits_are_read(trained):
+    decoder = toxicity.Decoder(trained["letters"])
+    disguised = {"stuupid": "stupid", "mmoron": "moron", "*diot": "idiot", "(lown": "clown", "455": "ass", "scuum": "scum", "(l0wn": "clown"}
+    assert {w for w, plain in disguised.items() if plain not in decoder.readings(w)} == set()
+    for number in ("2024", "1999", "5000", "12", "500", "(879)"):
+        assert decoder.readings(number) == []
+
+
+def test_k_best_readings_are_the_best_paths(trained):
+    decoder = toxicity.Decoder(trained["letters"])
+    model = decoder.model
+
+    def brute(choices, a, b, score, read):
+        if not choices:
+            return [(score + (model[a][b][0] if b else 0.0), " ".join(read.split()))]
+        out = []
+        for letter, code, cost in choices[0]:
+            if code < 0:
+                out += brute(choices[1:], a, b, score - cost, read)
+            elif code == 0:
+                out += brute(choices[1:], 0, 0, score - cost + (model[a][b][0] if b else 0.0), read + " ")
+            else:
+                out += brute(choices[1:], b, code, score - cost + model[a][b][code], read + letter)
+        return out
+
+    for text in ("1d1", "sc*m", "2*b", "ee3e", "4$$"):
+        best = {}
+        for score, read in brute(decoder.choices(text), 0, 0, 0.0, ""):
+            best[read] = max(score, best.get(read, score))
+        got = decoder.ranked(text, 2)
+        assert [round(s, 9) for s, _ in got] == [round(s, 9) for s in sorted(best.values(), reverse=True)[:2]]
+        assert all(best[read] == pytest.approx(score) for score, read in got)
+
+
+def test_quick_tests_change_no_feature(trained):
+    """Scoring skips words that can't have a wanted feature; the rows must be those of the plain way."""
+    words = ["stuupid", "mmoron.", "(lown", "*diot!", "idiot", "idiots,", "Idiots!!!", "still", "ééidiott", "m0r0n", "s t u p i d", "asss", "\u00e9\u00e9", "x(idiot)", "trash...!!", "zzz", "漢漢字", "((stupid))", ""]
+    batch = pa.RecordBatch.from_pydict({"text": [*words, " ".join(words), None]})
+    names = ["=idiot", "=stupid", "^stup", "^mor", "=moron", "^moro", "=ass", "=clown", "^idio", "=trash", "^漢字", "=zz"]
+    wanted = toxicity.Wanted({f: i for i, f in enumerate(names)})
+    decoder = toxicity.Decoder(trained["letters"])
+    slow = {(r, f) for r, f in zip(*toxicity.row_features(batch, decoder, {}), strict=True) if f in names}
+    fast = {(r, names[k]) for r, k in zip(*toxicity.row_features(batch, decoder, {}, wanted), strict=True)}
+    assert fast == slow and len(fast) > 20

@@ -2,11 +2,13 @@
 
 1. A character language model (trigrams of letters inside words, with word edges)
    is counted over all documents.
-2. A word that holds digits, symbols or long repetitions, and a run of single
+2. A word that holds digits, symbols or repeated letters, and a run of single
    letters set apart by spaces, is read as a lattice: each character stands for
    itself, for the letters it imitates, for a break between words or for nothing.
-   Viterbi finds the likeliest reading under the language model.  A word of plain
-   letters has one path and needs no search.
+   Viterbi finds the likeliest readings under the language model: the ``BEST`` best that
+   lie within ``MARGIN`` of the best.  Marks at the edges of a word are tried both as punctuation and as
+   letters; a piece without any letter is a word only where its reading looks like one.  A
+   word of letters without repetition has one path and needs no search.
 3. Restored words and their beginnings are features.  A logistic model learns
    from labelled rows; the score of a text is its probability.
 
@@ -53,14 +55,20 @@ LEET = {
 #: a character that can or cannot imitate one; of a letter repeated on purpose, and of one too many.
 COST_LEET, COST_BREAK, COST_DROP = 0.5, (8.0, 3.0), (12.0, 1.5)
 COST_REPEAT, COST_SQUEEZE = 1.0, 0.5
-LONGEST = 64
+#: Readings of a lattice that are kept, and how much less likely (natural logarithm) than the best they may be.
+BEST, MARGIN = 3, 1.5
+#: Mean log probability of its letters from which a piece without letters counts as a word.
+WORDLIKE = -3.7
 #: Characters after which the part that all readings of a lattice share is set aside.
 SETTLE = 64
 WORD = regex.compile(r"[\p{L}\p{M}]+")
 PLAIN = regex.compile(r"[\p{L}\p{M}]*\Z")
-TRIPLE = regex.compile(r"(\p{L})\1\1")
+DOUBLE = regex.compile(r"(\p{L})\1")
+REPEATED = regex.compile(r"(\p{L})\1+")
 DECORATION = regex.compile(r"([^\p{L}\p{N}])\1\1+\Z|\A([^\p{L}\p{N}])\2\2+")
 TRIM = "\"'“”‘’«»()[]{}.,;:?…*&%#~_=-/\\"
+#: What may only be punctuation at the edge of a word; the rest of ``TRIM`` may also stand for a letter.
+OUTSIDE, EDGES = "".join(c for c in TRIM if c not in LEET), {c for c in TRIM if c in LEET}
 CACHE_WORDS = 80_000
 
 
@@ -108,6 +116,7 @@ class Decoder:
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
+        self.known: dict[tuple[str, bool], list[tuple[str, int, float]]] = {}
 
     def choices(self, text: str) -> list[list[tuple[str, int, float]]]:
         """What each character may stand for: a letter, a break (" ") or nothing (""), with its cost."""
@@ -115,59 +124,104 @@ class Decoder:
 
     def each_choice(self, text: str):
         """``choices`` one by one, so that a long text has no list of them."""
-        before = ""
+        known, before = self.known, ""
         for c in text:
-            if c.isalpha():
-                code = int(letter_code(np.int64(ord(c))))
-                options = [(c, code, 0.0)]
-                if c == before:
-                    options = [(c, code, COST_REPEAT), ("", -1, COST_SQUEEZE)]
-            else:
-                likes = LEET.get(c, "")
-                options = [(x, ord(x) - 96, COST_LEET + (1.0 if c == "*" else 0.0)) for x in likes]
-                plain = not likes or c in "|*"
-                options += [(" ", EDGE, COST_BREAK[plain]), ("", -1, COST_DROP[plain])]
+            key = (c, c == before)
+            options = known.get(key)
+            if options is None:
+                if len(known) >= CACHE_WORDS:
+                    known.clear()
+                options = known[key] = self.options(*key)
             yield options
             before = c
 
-    def restore(self, text: str) -> str:
-        """The likeliest words behind ``text`` (lower case, without white space), however long it is."""
+    @staticmethod
+    def options(c: str, repeats: bool) -> list[tuple[str, int, float]]:
+        if c.isalpha():
+            code = int(letter_code(np.int64(ord(c))))
+            return [(c, code, COST_REPEAT), ("", -1, COST_SQUEEZE)] if repeats else [(c, code, 0.0)]
+        likes = LEET.get(c, "")
+        options = [(x, ord(x) - 96, COST_LEET + (1.0 if c == "*" else 0.0)) for x in likes]
+        plain = not likes or c in "|*"
+        return [*options, (" ", EDGE, COST_BREAK[plain]), ("", -1, COST_DROP[plain])]
+
+    def ranked(self, text: str, best: int = BEST) -> list[tuple[float, str]]:
+        """The ``best`` likeliest readings of ``text`` (lower case, without white space), however long it is, best first."""
         model, settled = self.model, []
-        # State: the last two letters written (edges after a break); value: score and reading.
-        states: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
+        # State: the last two letters written (edges after a break); value: the best scores and readings.
+        states: dict[tuple[int, int], list[tuple[float, str]]] = {(EDGE, EDGE): [(0.0, "")]}
         for at, options in enumerate(self.each_choice(text), 1):
-            fresh: dict[tuple[int, int], tuple[float, str]] = {}
-            for state, (score, read) in states.items():
-                a, b = state
+            fresh: dict[tuple[int, int], list[tuple[float, str]]] = {}
+            for (a, b), held in states.items():
+                row = model[a][b]
                 for letter, code, cost in options:
                     if code < 0:
-                        to, value = state, score - cost
+                        to, gain = (a, b), -cost
                     elif code == EDGE:
-                        to = (EDGE, EDGE)
-                        value = score - cost + (model[a][b][EDGE] if b else 0.0)
+                        to, gain = (EDGE, EDGE), (row[EDGE] if b else 0.0) - cost
+                    else:
+                        to, gain = (b, code), row[code] - cost
+                    moved = [(score + gain, read + letter) for score, read in held]
+                    if to in fresh:
+                        fresh[to] += moved
                     else:
-                        to, value = (b, code), score - cost + model[a][b][code]
-                    if to not in fresh or value > fresh[to][0]:
-                        fresh[to] = (value, read + letter)
+                        fresh[to] = moved
+            for to, held in fresh.items():
+                if len(held) > 1:
+                    fresh[to] = self.distinct(held, best)
             states = fresh
             if at % SETTLE == 0:
                 # Every way on begins with what all readings share, so they stay short.
-                shared = commonprefix([read for _, read in states.values()])
+                shared = commonprefix([read for held in states.values() for _, read in held])
                 if shared:
                     settled.append(shared)
-                    states = {state: (score, read[len(shared):]) for state, (score, read) in states.items()}
-        ended = [(score + (model[a][b][EDGE] if b else 0.0), read) for (a, b), (score, read) in states.items()]
-        return " ".join(("".join(settled) + max(ended)[1]).split())
+                    states = {state: [(score, read[len(shared):]) for score, read in held] for state, held in states.items()}
+        ended = [(score + (model[a][b][EDGE] if b else 0.0), read) for (a, b), held in states.items() for score, read in held]
+        start = "".join(settled)
+        return self.distinct([(score, " ".join((start + read).split())) for score, read in sorted(ended, reverse=True)[:4 * best]], best)
+
+    @staticmethod
+    def distinct(held: list[tuple[float, str]], best: int) -> list[tuple[float, str]]:
+        """The best of different readings, best first."""
+        out: list[tuple[float, str]] = []
+        for entry in sorted(held, reverse=True):
+            if all(entry[1] != read for _, read in out):
+                out.append(entry)
+                if len(out) == best:
+                    break
+        return out
+
+    def restore(self, text: str) -> str:
+        """The likeliest words behind ``text``."""
+        return self.ranked(text, 1)[0][1]
+
+    def words(self, text: str) -> list[str]:
+        """The words of all likely readings of ``text``."""
+        ranked = self.ranked(text)
+        return [word for score, read in ranked if score >= ranked[0][0] - MARGIN for word in read.split()]
+
+    def wordlike(self, word: str) -> bool:
+        """Whether the letters of ``word`` follow each other as those of words do."""
+        codes = [EDGE, EDGE, *letter_code(np.array([ord(c) for c in word], dtype=np.int64)).tolist(), EDGE]
+        return sum(self.model[a][b][c] for a, b, c in zip(codes, codes[1:], codes[2:], strict=False)) >= WORDLIKE * (len(codes) - 2)
 
     def readings(self, word: str) -> list[str]:
         """Plain words that a piece between white space stands for: as it is, and as its lattice reads."""
-        word = DECORATION.sub("", word).strip(TRIM).rstrip("!")
-        if PLAIN.match(word) and not TRIPLE.search(word):
+        word = DECORATION.sub("", word)
+        whole, word = word.strip(OUTSIDE), word.strip(TRIM).rstrip("!")
+        plain = bool(PLAIN.match(word))
+        if plain and whole.rstrip(TRIM + "!") == word and not DOUBLE.search(word):
             return [word] if word else []
         found = WORD.findall(word)
-        if not found:
-            return []
-        found += self.restore(word).split()
+        if found:
+            found += self.words(word) if not plain or DOUBLE.search(word) else []
+        elif any(c in LEET for c in word):
+            found += [w for w in self.words(word) if len(w) > 2 and self.wordlike(w)]
+        if WORD.search(word) and whole != word:
+            at = whole.find(word)
+            before, after = whole[at - 1:at] if at else "", whole[at + len(word):at + len(word) + 1]
+            guessed = [x + word for x in LEET.get(before, "")] + [word + x for x in LEET.get(after, "") if after != "!"]
+            found += guessed if plain else [w for g in guessed for w in self.words(g)]
         return list(dict.fromkeys(found))
 
 
@@ -186,42 +240,104 @@ def spaced_runs(rows: np.ndarray, single: np.ndarray) -> list[tuple[int, int]]:
     return runs
 
 
-def row_features(batch: pa.RecordBatch, decoder: Decoder, store: dict, wanted=None):
+class Wanted:
+    """Numbered features, and quick exact tests for words that can't have any of them."""
+
+    def __init__(self, numbers: dict[str, int]):
+        self.numbers = numbers
+        self.sets = {}
+        for n in (0, 4, 5, 6, 7):
+            own = {f[1:]: k for f, k in numbers.items() if (f[0] == "=") == (n == 0) and (n == 0 or len(f) == n + 1)}
+            self.sets[n] = (pa.array(list(own), pa.large_string()), list(own.values()))
+        # A reading has the letters of its word but for repetitions, so without those it begins as a feature does.
+        self.short = {REPEATED.sub(r"\1", f[1:]) for f in numbers}
+
+    def of_plain(self, words: pa.Array):
+        """Place and number of each feature of words that need no search."""
+        for n, (values, numbers) in self.sets.items():
+            part = words if n == 0 else pc.utf8_slice_codeunits(words, 0, n)
+            hits = pc.index_in(part, value_set=values)
+            at = np.flatnonzero(pc.is_valid(hits).to_numpy(zero_copy_only=False))
+            for i, k in zip(at.tolist(), hits.take(pa.array(at)).to_pylist(), strict=True):
+                yield i, numbers[k]
+
+    def possible(self, word: str) -> bool:
+        """Whether a reading of a piece may have a feature; only what is letters and punctuation can be told from."""
+        bare = DECORATION.sub("", word).strip(TRIM).rstrip("!")
+        if not PLAIN.match(bare) or not EDGES.isdisjoint(word):
+            return True
+        short = REPEATED.sub(r"\1", bare)
+        return any(short[:n] in self.short for n in range(1, len(short) + 1))
+
+
+def searched(distinct: pa.Array, bare: pa.Array) -> np.ndarray:
+    """Which words may need a search: all but those of letters without a repetition inside plain punctuation."""
+    letters = pc.match_substring_regex(bare, r"^[\p{L}\p{M}]+$")
+    edges = pc.equal(pc.utf8_rtrim(pc.utf8_trim(distinct, OUTSIDE), TRIM + "!"), bare)
+    out = ~pc.and_(letters, edges).to_numpy(zero_copy_only=False)
+    bare = pa.concat_arrays([bare, pa.array([], bare.type)])
+    _, offsets, data = bare.buffers()
+    ends = np.frombuffer(offsets, np.int64)[1:len(bare) + 1]
+    told = np.frombuffer(data or b"", np.uint8)
+    # Letters take up to four bytes: the same bytes again, of one letter or of more, are looked at one by one.
+    for size in (1, 2, 3, 4):
+        same = told[size:] == told[:-size]
+        run = same.copy()
+        for k in range(1, size):
+            run[:-k] &= same[k:]
+        if size > 1 and len(told) > size:
+            run &= told[:-size] >= 0xC0
+        out[np.minimum(np.searchsorted(ends, np.flatnonzero(run), side="right"), max(len(out) - 1, 0))] = True
+    return out
+
+
+def row_features(batch: pa.RecordBatch, decoder: Decoder, store: dict, wanted: Wanted | None = None):
     """Distinct (row, feature) pairs of a piece of the table.
 
-    ``wanted``: feature -> number; without it features are returned as text.
+    ``wanted``: numbered features; without it features are returned as text.
     """
     rows, codes, distinct = words_of(pc.utf8_lower(texts_of(batch)), lower=False)
-    named = distinct.to_pylist()
-    per_word = []
-    for word in named:
+    distinct = distinct.cast(pa.large_string())
+    features: dict[int, list] = {}
+    slow = np.arange(len(distinct))
+    if wanted is not None and len(distinct):
+        bare = pc.utf8_rtrim(pc.utf8_trim(distinct, TRIM), "!")
+        search = searched(distinct, bare)
+        slow, fast = np.flatnonzero(search), np.flatnonzero(~search)
+        for i, k in wanted.of_plain(bare.take(pa.array(fast))):
+            features.setdefault(int(fast[i]), []).append(k)
+    for code, word in zip(slow.tolist(), distinct.take(pa.array(slow)).to_pylist(), strict=True):
         known = store.get(word)
         if known is None:
             if len(store) >= CACHE_WORDS:
                 store.clear()
-            known = [f for plain in decoder.readings(word) for f in features_of(plain)]
-            if wanted is not None:
-                known = [wanted[f] for f in known if f in wanted]
+            known = ()
+            if wanted is None or wanted.possible(word):
+                known = [f for plain in decoder.readings(word) for f in features_of(plain)]
+                if wanted is not None:
+                    known = [wanted.numbers[f] for f in known if f in wanted.numbers]
             store[word] = known = tuple(dict.fromkeys(known))
-        per_word.append(known)
-    many = np.array([len(k) for k in per_word], dtype=np.int64)
+        if known:
+            features[code] = list(known)
     found_rows: list = []
     found: list = []
     if len(codes):
-        hit = many[codes] > 0
-        pairs = np.unique(rows[hit].astype(np.int64) * len(named) + codes[hit])
-        for row, code in zip((pairs // len(named)).tolist(), (pairs % len(named)).tolist(), strict=True):
-            found_rows += [row] * len(per_word[code])
-            found += per_word[code]
+        many = np.zeros(len(distinct), bool)
+        many[list(features)] = True
+        hit = many[codes]
+        pairs = np.unique(rows[hit].astype(np.int64) * len(distinct) + codes[hit])
+        for row, code in zip((pairs // len(distinct)).tolist(), (pairs % len(distinct)).tolist(), strict=True):
+            found_rows += [row] * len(features[code])
+            found += features[code]
         bare = pc.utf8_trim(distinct, TRIM + "!$")
         lone = pc.equal(pc.utf8_length(bare), 1).to_numpy(zero_copy_only=False)
         for a, b in spaced_runs(rows, lone[codes]):
-            letters = [named[c].strip(TRIM + "!$") for c in codes[a:b].tolist()]
+            letters = bare.take(pa.array(codes[a:b])).to_pylist()
             joined = "".join(letters)
-            words = {joined} if joined.isalpha() and len(joined) <= LONGEST else set()
-            words.update(decoder.restore("_".join(letters)).split())  # the lattice decides where words end
+            words = {joined} if joined.isalpha() else set()
+            words.update(decoder.words("_".join(letters)))  # the lattice decides where words end
             extra = [f for w in words for f in features_of(w)]
-            extra = extra if wanted is None else [wanted[f] for f in extra if f in wanted]
+            extra = extra if wanted is None else [wanted.numbers[f] for f in extra if f in wanted.numbers]
             found_rows += [int(rows[a])] * len(extra)
             found += extra
     return found_rows, found
@@ -307,9 +423,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 
     def matrix(batches):
         """Arrow task: the picked features of each labelled text."""
-        decoder, store = Decoder(shared.value), {}
+        decoder, store, wanted = Decoder(shared.value), {}, Wanted(picked.value)
         for batch in pieces(batches, "text", 1 << 20):
-            rows, found = row_features(batch, decoder, store, picked.value)
+            rows, found = row_features(batch, decoder, store, wanted)
             keys = batch.column("key").to_pylist()
             pairs = sorted({(keys[row], f) for row, f in zip(rows, found, strict=True)})
             yield pa.RecordBatch.from_pydict({
@@ -336,7 +452,7 @@ def score(docs: DataFrame, trained: dict) -> DataFrame:
     schema = plain.withColumn("score", F.lit(0.0)).schema
 
     def task(batches):
-        decoder, wanted, weights = Decoder(shared.value["letters"]), shared.value["features"], shared.value["weights"]
+        decoder, wanted, weights = Decoder(shared.value["letters"]), Wanted(shared.value["features"]), shared.value["weights"]
         store: dict = {}
         for batch in pieces(batches, "score_text"):
             named = pa.RecordBatch.from_pydict({"text": batch.column("score_text")})
