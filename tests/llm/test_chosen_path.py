@@ -67,7 +67,7 @@ def test_trees_reach_the_recall():
     assert chosen_path.survival(0.8, 1) == pytest.approx(0.75 * 0.8 + 0.25 * 0.96)
     chance = chosen_path.survival(0.8, chosen_path.DEPTH)
     trees = chosen_path.choose_trees(0.8)
-    assert 1 - (1 - chance) ** trees >= 0.999 > 1 - (1 - chance) ** (trees - 1)
+    assert 1 - (1 - chance) ** trees >= chosen_path.RECALL > 1 - (1 - chance) ** (trees - 1)
     with pytest.raises(ValueError):
         chosen_path.choose_trees(0.4)
 
@@ -91,7 +91,7 @@ def test_threshold_is_exact(spark):
     assert found(spark, rows) == brute(rows)
 
 
-@pytest.mark.parametrize("small, block", [(128, 384), (4, 12)])
+@pytest.mark.parametrize("small, block", [(512, 384), (4, 12)])
 def test_near_copies_in_large_groups(spark, monkeypatch, small, block):
     monkeypatch.setattr(chosen_path, "SMALL", small)
     monkeypatch.setattr(chosen_path, "BLOCK_MEMBERS", block)

@@ -10,7 +10,7 @@
    a node of at most ``SMALL`` classes is a leaf, and larger ones branch again,
    ``DEPTH`` times at most.  The number of trees follows from the target recall
    at that depth.
-3. Classes of a leaf are compared with each other by all their minwise tokens.  Pairs
+3. Classes of a leaf are compared with each other by a byte of each of their minwise tokens.  Pairs
    whose estimate is within four standard deviations of the wanted similarity
    are tied, and a node that still is large after ``DEPTH`` steps ties all its classes.
    What is tied, directly or over others, is one cluster; every pair with a common leaf that
@@ -18,7 +18,7 @@
 4. Links are confirmed on full sets, once per cluster.  A cluster that fits one block
    is compared pair by pair in one task.  In a larger one all classes are first
    compared with ``HUBS`` of them; what hangs together then needs no comparison
-   within, so only classes outside the largest such part meet the others, block by
+   within, so only classes outside the main part meet the others, block by
    block.  A task returns one edge a class at most, never all pairs.
 5. Connected classes get the smallest doc_id among their documents.
 
@@ -40,10 +40,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from valsieve.llm.common import join_hot, pieces, row_key, ship, stage, starts_of, text_of, texts_of
-from valsieve.llm.jaccard_join import components, grams_of, mixed, overlaps
+from valsieve.llm.jaccard_join import grams_of, mixed, overlaps
 
-SHINGLE, PERCENT, RECALL = 2, 80, 0.999
-COORDINATES, SMALL, DEPTH, HUBS = 64, 128, 5, 3
+SHINGLE, PERCENT, RECALL = 2, 80, 0.99
+COORDINATES, SMALL, DEPTH, HUBS = 64, 512, 5, 4
+#: Rounds of a component search; labels halve their distance in each, so this is never met.
+ROUNDS = 64
 #: Classes and shingles of a block.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 384, 400_000
 #: The filter that spares texts without a cluster the way to the confirmation: bits a row, and bits at most.
@@ -99,13 +101,14 @@ def sign_batches(batches):
         offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * COORDINATES
         yield pa.RecordBatch.from_pydict({
             "doc_id": batch.column("doc_id"), "row_hash": batch.column("row_hash"), "digest": pa.array(digests, pa.binary()),
-            "size": pa.array(sizes, pa.int64()), "tokens": pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens.ravel()))})
+            "size": pa.array(sizes, pa.int64()), "tokens": pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens.ravel())),
+            "sketch": pa.array([row.tobytes() for row in tokens.astype(np.uint8)], pa.binary())})
 
 
 def signatures(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, row_hash bigint, digest binary, size bigint, tokens array<int>"
+    schema = f"doc_id {kind}, row_hash bigint, digest binary, size bigint, tokens array<int>, sketch binary"
     keyed = docs.select(*row_key(), text_of().alias("text"))
     return stage(keyed.mapInArrow(sign_batches, schema).withColumn("row", F.monotonically_increasing_id()), "path-signatures")
 
@@ -113,7 +116,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 def classes_of(signed: DataFrame) -> DataFrame:
     """One row per distinct set with a number of its own, the row that stands for it and its smallest id."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row_hash")).alias("first")
-    grouped = signed.where("size > 0").groupBy("digest").agg(first, F.max("size").alias("size"), F.first("tokens").alias("tokens"))
+    grouped = signed.where("size > 0").groupBy("digest").agg(first, F.max("size").alias("size"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
     return stage(grouped.withColumn("node", F.monotonically_increasing_id()), "path-classes")
 
 
@@ -132,7 +135,7 @@ def branch(classes: DataFrame, trees: int, similarity: float) -> tuple[DataFrame
     rows = narrow.withColumn("path", F.explode(F.array(*[F.xxhash64(F.lit("tree"), F.lit(k)) for k in range(trees)])))
     for _ in range(DEPTH):
         below = rows.select("node", F.explode(children(F.col("path"), F.col("tokens"), 1 / similarity - 1)).alias("path"))
-        met = stage(below.groupBy("path").agg(F.count("*").alias("members")).where("members > 1"), "path-nodes")
+        met = below.groupBy("path").agg(F.count("*").alias("members")).where("members > 1")
         together = stage(below.join(met, "path"), "path-members")
         leaves.append(together.where(F.col("members") <= SMALL).select("node", "path"))
         large = together.where(F.col("members") > SMALL).select("node", "path")
@@ -192,12 +195,14 @@ def edges_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 def tie_batches(batches, percent: int, agree: int):
     """Arrow task over members sorted by leaf: a forest of the classes of each leaf that may be linked."""
     found, size = [], 0
-    for group in groups_of(batches, ("path",), ("node", "size"), ("tokens",)):
-        node, sizes = (np.concatenate([g[i] for g in group]) for i in range(2))
-        tokens = np.array([t for g in group for t in g[2]])
+    for group in groups_of(batches, ("path",), ("node", "size", "sketch"), ()):
+        node, sizes, sketches = (np.concatenate([g[i] for g in group]) for i in range(3))
+        tokens = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(node), COORDINATES)
         near = 100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)
         np.fill_diagonal(near, False)
-        near &= (tokens[:, None, :] == tokens[None, :, :]).sum(axis=2) >= agree
+        step = max(1, (1 << 22) // (len(node) * COORDINATES))
+        for a in range(0, len(node), step):
+            near[a:a + step] &= (tokens[a:a + step, None, :] == tokens[None, :, :]).sum(axis=2) >= agree
         root = forest(near)
         tied = np.flatnonzero(root != np.arange(len(root)))
         if len(tied):
@@ -213,8 +218,8 @@ def tie_batches(batches, percent: int, agree: int):
 def clusters_of(classes: DataFrame, leaves: DataFrame, large: DataFrame, percent: int) -> DataFrame | None:
     """Classes with a possible partner: node, cluster, size; nothing where there is none."""
     agree = least_agreement(percent / 100)
-    dealt = leaves.join(classes.select("node", "size", "tokens"), "node").repartition("path").sortWithinPartitions("path", "node")
-    ties = dealt.select("path", "node", "size", "tokens").mapInArrow(lambda b: tie_batches(b, percent, agree), "node bigint, root bigint")
+    dealt = leaves.join(classes.select("node", "size", "sketch"), "node").repartition("path").sortWithinPartitions("path", "node")
+    ties = dealt.select("path", "node", "size", "sketch").mapInArrow(lambda b: tie_batches(b, percent, agree), "node bigint, root bigint")
     heads = large.groupBy("path").agg(F.min("node").alias("root"))
     all_ties = stage(ties.unionByName(large.join(heads, "path").where("node <> root").select("node", "root")).distinct(), "path-ties")
     if all_ties.isEmpty():
@@ -223,6 +228,26 @@ def clusters_of(classes: DataFrame, leaves: DataFrame, large: DataFrame, percent
     return stage(named.join(classes.select("node", "size", "first"), "node"), "path-clusters")
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """Smallest node of each connected component: node, component.
+
+    Each round takes the least label of all neighbours, then the label of that label, and
+    is written once to the shared folder.
+    """
+    both = stage(edges.select("node", "root").union(edges.select(F.col("root").alias("node"), F.col("node").alias("root"))).distinct(), "path-edges")
+    labels = both.groupBy("node").agg(F.least("node", F.min("root")).alias("label"))
+    for _ in range(ROUNDS):
+        near = labels.select(F.col("node").alias("root"), F.col("label").alias("offer"))
+        offers = both.join(near, "root").groupBy("node").agg(F.min("offer").alias("offer"))
+        spread = labels.join(offers, "node").select("node", F.col("label").alias("old"), F.least("label", "offer").alias("label"))
+        jump = spread.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        moved = stage(spread.join(jump, "label").select("node", "old", F.col("further").alias("label")), "path-labels")
+        if moved.where("label <> old").isEmpty():
+            return moved.select("node", F.col("label").alias("component"))
+        labels = moved.select("node", "label")
+    raise RuntimeError("components did not settle")
+
+
 def key_filter(members: DataFrame) -> np.ndarray:
     """A Bloom filter over the rows that stand for clustered classes, sized from their number; it only spares work."""
     bits = 1 << 16
@@ -263,30 +288,39 @@ def full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     return stage(firsts.join(found, same).select("node", "cluster", "set"), "path-sets")
 
 
-def hub_edges(sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Edges between one class of each large cluster, the first outside its largest part, and all that are linked with it."""
-    hub = parts.where("outer").groupBy("cluster").agg(F.min("node").alias("hub"))
-    chosen = hub.join(sets, (hub.hub == sets.node) & (hub.cluster == sets.cluster)).select(hub.cluster, "hub", F.col("set").alias("hub_set")).dropDuplicates(["hub"])
-    near = join_hot(sets.join(parts.select("cluster").distinct(), "cluster", "left_semi"), chosen, "cluster", "node").where("hub is not null and node <> hub")
-    common = F.size(F.array_intersect("set", "hub_set"))
-    linked = near.where(100 * common >= percent * (F.size("set") + F.size("hub_set") - common))
-    return linked.select("node", F.col("hub").alias("root"))
+def hub_links(sets: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+    """Links (node, root, bit) of ``HUBS`` classes of each large cluster, drawn by hash, each itself included."""
+    drawn = [F.min(F.struct(F.xxhash64("node", F.lit(k)), "node"))["node"].alias(f"hub{k}") for k in range(HUBS)]
+    hubs = large.groupBy("cluster").agg(*drawn).select("cluster", F.posexplode(F.array(*[f"hub{k}" for k in range(HUBS)])).alias("turn", "hub"))
+    own = sets.join(large.select("cluster").distinct(), "cluster", "left_semi")
+    chosen = hubs.join(own.drop("cluster"), hubs.hub == own.node).groupBy("cluster").agg(F.collect_list(F.struct("turn", "hub", "set")).alias("hubs"))
+    met = join_hot(own, chosen, "cluster", "node").select("node", "set", F.explode("hubs").alias("h"))
+    common = F.size(F.array_intersect("set", "h.set"))
+    linked = met.where(100 * common >= percent * (F.size("set") + F.size("h.set") - common))
+    return stage(linked.select("node", F.col("h.hub").alias("root"), F.expr("shiftleft(1, h.turn)").alias("bit")), "path-hub-links")
+
 
+def with_outer(large: DataFrame, links: DataFrame) -> DataFrame:
+    """Whether each class lies outside the main part of its large cluster: what hangs together with the hub of most links.
 
-def parts_of(members: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """Classes of large clusters, and whether each lies outside the largest connected part of its cluster."""
-    if edges is None:
-        return members.select("node", "cluster", "size", F.lit(True).alias("outer"))
-    named = members.select("node", "cluster", "size").join(components(edges), "node", "left").withColumn("part", F.coalesce("component", "node"))
-    counted = named.groupBy("cluster", "part").count()
-    most = counted.groupBy("cluster").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
-    return join_hot(named, most, "cluster", "node").select("node", "cluster", "size", (F.col("part") != F.col("main")).alias("outer"))
+    A class has a mask of the hubs that it is linked with.  A cluster has few
+    different masks; hubs with a class in common are one part.
+    """
+    masks = links.groupBy("node").agg(F.bit_or("bit").alias("mask"))
+    state = large.join(masks, "node", "left").select("node", "cluster", "size", F.coalesce("mask", F.lit(0)).alias("mask"))
+    bits = [F.sum(F.col("mask").bitwiseAND(1 << k)) / (1 << k) for k in range(HUBS)]
+    shape = state.groupBy("cluster").agg(F.collect_set("mask").alias("masks"), F.array(*bits).alias("counts"))
+    main = F.element_at(F.array(*[F.lit(1 << k) for k in range(HUBS)]), F.array_position("counts", F.array_max("counts")).cast("int"))
+    for _ in range(HUBS - 1):
+        main = F.aggregate("masks", main, lambda held, mask: F.when(held.bitwiseAND(mask) != 0, held.bitwiseOR(mask)).otherwise(held))
+    named = join_hot(state, shape.select("cluster", main.alias("main")), "cluster", "node")
+    return named.select("node", "cluster", "size", (F.col("mask").bitwiseAND(F.col("main")) == 0).alias("outer"))
 
 
 def cells_of(parts: DataFrame) -> DataFrame:
     """node, cluster, low, high: the block pairs in which each class meets those that it isn't known to hang together with.
 
-    Blocks of outer classes come first.  They meet all blocks; blocks of the largest
+    Blocks of outer classes come first.  They meet all blocks; blocks of the main
     part meet those of outer classes only.
     """
     def blocks(mine: Column) -> Column:
@@ -326,19 +360,15 @@ def confirmed(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     sets = full_sets(docs, members)
     shape = members.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("size").alias("shingles"))
     big = stage(shape.where((F.col("members") > BLOCK_MEMBERS) | (F.col("shingles") > BLOCK_SHINGLES)).select("cluster"), "path-large")
-    parts, edges = parts_of(members, None), None
+    parts, known = members.select("node", "cluster", "size", F.lit(True).alias("outer")), None
     if not big.isEmpty():
         large = members.join(big, "cluster", "left_semi")
-        inner = parts_of(large, None)
-        for _ in range(HUBS):
-            more = hub_edges(sets, inner, percent)
-            edges = stage(more if edges is None else more.unionByName(edges), "path-hub-edges")
-            inner = stage(parts_of(large, edges), "path-parts")
-        parts = parts.join(big, "cluster", "left_anti").unionByName(inner)
+        known = hub_links(sets, large, percent)
+        parts = parts.join(big, "cluster", "left_anti").unionByName(stage(with_outer(large, known), "path-outer"))
     group = ["cluster", "low", "high"]
     dealt = cells_of(parts).join(sets.select("node", "set"), "node").repartition(*group).sortWithinPartitions(*group, "node")
     links = dealt.select(*group, "node", "set").mapInArrow(lambda b: confirm_batches(b, percent), "node bigint, root bigint")
-    return stage(links if edges is None else links.unionByName(edges), "path-links")
+    return stage(links if known is None else links.unionByName(known.select("node", "root").where("node <> root")), "path-links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, recall: float = RECALL) -> DataFrame:
