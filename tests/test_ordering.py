@@ -78,3 +78,25 @@ def test_a_staging_scope_removes_only_its_own_tables(spark):
             assert same == folder
         assert staged.count() == 5 and all(folder in f for f in staged.inputFiles())
     assert not Path(folder).exists() and kept.count() == 5
+
+
+def test_positions_with_missing_scores_keep_ranges_small(spark):
+    rng = random.Random(9)
+    rows = [(f"t{i:05d}", rng.choice("ab"), None if rng.random() < 0.9 else rng.choice([1.0, 2.0, rng.random()])) for i in range(8000)]
+    rows += rows[:50]  # repeated rows
+    df = spark.createDataFrame(rows, "ticker string, g string, v double").repartition(7)
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = df.repartitionByRange("g", F.asc_nulls_last("v"), "ticker").groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in placed) < 3 * len(rows) / 16
+        got = sorted(tuple(r) for r in ordering.positions(df, ["g"], "v", ["ticker"]).select("g", "posicion", "ticker").collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    want = []
+    for g in "ab":
+        own = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] is None, r[2] or 0.0, r[0]))
+        want += [(g, i + 1, r[0]) for i, r in enumerate(own)]
+    assert got == sorted(want)

@@ -141,3 +141,29 @@ def test_returns_after_a_missing_close(spark):
     assert got == {("A", "2024-01-30"): None, ("A", "2024-02-01"): 1.0, ("A", "2024-02-05"): 0.5, ("B", "2024-02-02"): None}
     index = {(r["ticker"], str(r["fecha"])): r["indice"] for r in signals.wealth_index(table).collect()}
     assert index["A", "2024-02-05"] == 3.0 and index["B", "2024-02-02"] == 1.0
+
+
+def test_prices_are_scanned_once_without_a_join(spark, tmp_path):
+    path = str(tmp_path / "prices")
+    spark.createDataFrame([("A", dt.date(2025, 1, 7), 10.0), ("A", dt.date(2025, 3, 8), 11.0)], "ticker string, fecha date, close double").write.parquet(path)
+    prices, entry = spark.read.parquet(path), spark.createDataFrame([("A", dt.date(2025, 1, 28))], "ticker string, fecha_entrada date")
+    for df in (signals.signal_performance(entry, prices), signals.drawdowns(prices)):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("FileScan") == 1 and "Join" not in plan
+    row = signals.signal_performance(entry, prices).first()
+    assert row["precio_entrada"] is None and row["dias_en_seguimiento"] is None  # one close is not enough
+
+
+def test_drawdowns_across_months_match_a_loop(spark):
+    rng = random.Random(4)
+    series = {f"T{i}": [(dt.date(2024, 1, 1) + dt.timedelta(days=d), rng.choice([0.0, 5.0, rng.uniform(1, 99)]) if i % 3 == 0 else rng.uniform(1, 99))
+                        for d in sorted(rng.sample(range(500), rng.choice([1, 3, 50, 300])))] for i in range(12)}
+    rows = [(t, d, c) for t, s in series.items() for d, c in s]
+    got = {r["ticker"]: r["max_drawdown"] for r in signals.drawdowns(spark.createDataFrame(rows, "ticker string, fecha date, close double").repartition(5)).collect()}
+    for ticker, s in series.items():
+        top, worst = None, None
+        for _, c in s:
+            top = c if top is None else max(top, c)
+            if top > 0:
+                worst = min(c / top - 1, 0.0 if worst is None else worst)
+        assert got[ticker] == worst or abs(got[ticker] - worst) < 1e-12

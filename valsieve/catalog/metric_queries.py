@@ -99,6 +99,21 @@ def fx_to_eur(t):
     return out.select("ticker", "divisa", r6(F.col("eur"), "eur"))
 
 
+@query("fx_by_row", """
+SELECT j.snapshot_id, j.ticker, j.divisa, ROUND(j.per * CASE WHEN j.divisa = 'EUR' THEN 1e0 ELSE MAX_BY(f.close, f.fecha) END, 6) AS eur,
+ CAST(MAX(f.fecha) AS STRING) AS fecha_tasa
+FROM (SELECT *, (['USD', 'GBP', 'JPY', 'EUR'])[CAST(substr(ticker, 2) AS BIGINT) % 4 + 1] AS divisa FROM journal) j
+LEFT JOIN (SELECT * FROM fx WHERE day(fecha) % 9 = 1) f ON f.divisa = j.divisa AND f.fecha <= j.dia AND f.fecha > j.dia - 5
+GROUP BY j.snapshot_id, j.ticker, j.divisa, j.per""")
+def fx_by_row(t):
+    """Journal values at the newest rate of the five days before each row; rates come on few days, so some rows have none."""
+    rates = t.fx().where(F.dayofmonth("fecha") % 9 == 1)
+    user = F.substring("ticker", 2, 20).cast("bigint")
+    rows = t.journal().withColumn("divisa", F.element_at(F.array(*map(F.lit, ("USD", "GBP", "JPY", "EUR"))), (user % 4 + 1).cast("int")))
+    out = fx_operators.to_eur_at(rows, rates, "divisa", "dia", "per", "eur")
+    return out.select("snapshot_id", "ticker", "divisa", r6(F.col("eur"), "eur"), F.col("eur_fecha").cast("string").alias("fecha_tasa"))
+
+
 METRIC_SQL = """
 SELECT ticker, sector, pais, region, divisa_consistente, ROUND(per, 6) AS per, ROUND(ev_ebit, 6) AS ev_ebit,
   ROUND(fcf_yield, 6) AS fcf_yield, ROUND(roic, 6) AS roic, ROUND(margen_op, 6) AS margen_op,

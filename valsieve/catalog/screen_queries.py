@@ -11,7 +11,6 @@ from valsieve.catalog.tables import CAP_FLOOR
 from valsieve.functions.text import company_key
 from valsieve.operators import integrity, listings, metrics, ordering, ranking, screen, summaries
 from valsieve.plans.analysis import analyze
-from valsieve.session import stage_table
 
 
 def evaluated(t):
@@ -165,8 +164,10 @@ CONTROL = """SELECT CAST((SELECT COUNT(*) FROM metricas) AS BIGINT) AS tickers_s
 
 
 def control(t):
-    e = evaluated(t)
-    return summaries.run_control(e, t.fundamentals(), requested=t.listing())
+    """The control record from the counts of the job that writes the evaluated table."""
+    obtained = t.observations()
+    result = analyze(obtained, CAP_FLOOR_LIMITS)
+    return summaries.observed_control(result.evaluated, result.counts, obtained, requested=t.listing())
 
 
 @query("run_control_row", CONTROL)
@@ -197,10 +198,10 @@ GATED_RUNS = {
 @query("integrity_gate", " UNION ALL ".join(gate_sql(run, *sides) for run, sides in GATED_RUNS.items()))
 def integrity_gate(t):
     asked, obtained = t.listing(), t.observations()
-    e = stage_table(screen.apply_screen(listings.dedup_listings(metrics.compute_metrics(obtained)), CAP_FLOOR_LIMITS), "evaluated")
+    result = analyze(obtained, CAP_FLOOR_LIMITS)
+    e = result.evaluated
     delivered = F.col("error_descarga") == ""
     runs = {
-        "completa": (e, obtained),
         "descargas_perdidas": (e.where(delivered), obtained.where(delivered)),
         "filas_perdidas": (e.where("pasa"), obtained),
     }
@@ -208,7 +209,8 @@ def integrity_gate(t):
         integrity.gate(kept, summaries.run_control(kept, got, requested=asked)).withColumn("ejecucion", F.lit(run))
         for run, (kept, got) in runs.items()
     ]
-    return checked[0].unionByName(checked[1]).unionByName(checked[2])
+    whole = integrity.gate(e, summaries.observed_control(e, result.counts, obtained, requested=asked)).withColumn("ejecucion", F.lit("completa"))
+    return whole.unionByName(checked[0]).unionByName(checked[1])
 
 
 @query("api_summary", """

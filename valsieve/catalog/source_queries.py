@@ -64,6 +64,27 @@ def scan_runs(t):
     return back.select("snapshot_id", "oficial", "revision", F.to_date("fecha_ejecucion").cast("string").alias("dia"))
 
 
+HEADERS = ["snapshot_id", "ticker", "pasa", "per"]
+
+
+@query("header_check", """
+SELECT DISTINCT CASE day(dia) % 4 WHEN 1 THEN 'breve' WHEN 2 THEN 'otra' ELSE 'girada' END AS capa,
+ CASE day(dia) % 4 WHEN 1 THEN 'faltan: per' WHEN 2 THEN 'faltan: ticker; sobran: simbolo, nota' ELSE 'orden o repetición' END AS problema
+FROM journal WHERE day(dia) % 4 > 0""")
+def header_check(t):
+    """The journal in text parts of four layouts: each part with another header than the expected one is named."""
+    folder, rows = place(t, "layouts"), t.journal().withColumn("_k", F.dayofmonth("dia") % 4)
+    layouts = {
+        "actual": HEADERS, "breve": HEADERS[:3], "otra": ["snapshot_id", F.col("ticker").alias("simbolo"), "pasa", "per", F.lit("").alias("nota")],
+        "girada": ["ticker", "snapshot_id", "pasa", "per"]}
+    for k, (name, columns) in enumerate(layouts.items()):
+        part = rows.where(F.col("_k") == k)
+        if not part.isEmpty():
+            part.select(*columns).write.option("header", True).csv(f"{folder}/{name}")
+    found = readers.header_problems(t.spark, folder, HEADERS)
+    return found.select(F.regexp_extract("archivo", "/([^/]+)/[^/]+$", 1).alias("capa"), "problema").distinct()
+
+
 @query("scan_tracking", "SELECT ticker, CAST(fecha_entrada AS STRING) AS fecha_entrada, CAST(fecha_calculo AS STRING) AS fecha_calculo, ROUND(retorno_total, 6) AS retorno_total FROM tracking")
 def scan_tracking(t):
     path = place(t, "tracking-csv")

@@ -103,6 +103,25 @@ def discovery_config_checks(t):
     return discovery.quota_violations(quotas, list(S.DISCOVERY_QUOTAS))
 
 
+@query("config_hash", f"""
+SELECT n_nationkey AS mercado, sha256(config_json) AS config_sha256, config_json FROM (SELECT n_nationkey, concat(
+ '{{"cuotas_region":{{', CASE WHEN a < b THEN concat('"', a, '":', n_nationkey + 1, ',"', b, '":7') ELSE concat('"', b, '":7,"', a, '":', n_nationkey + 1) END,
+ '}},"perfil":"', replace(replace(perfil, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), '","precio_minimo":', CAST(2 + n_nationkey / 4e0 AS VARCHAR),
+ ',"reintentos":', 1 + n_nationkey % 3, ',"sectores":[', array_to_string(list_transform(({S.SECTORS!r})[1:1 + n_nationkey % 9], lambda s: concat('"', s, '"')), ','),
+ '],"umbral_buckets":', CAST((n_nationkey % 5) / 4e0 AS VARCHAR), ',"volumen_medio_minimo":', n_nationkey * 1000, '}}') AS config_json
+ FROM (SELECT *, concat(n_name, ' "á" ', chr(92)) AS perfil, ({[*MARKETS]!r})[n_nationkey % 22 + 1] AS a, ({[*MARKETS]!r})[(n_nationkey + 7) % 22 + 1] AS b FROM nation))""")
+def config_hash(t):
+    """One configuration for each market, hashed as data."""
+    nk = F.col("n_nationkey")
+    configs = t.raw("nation").select(
+        nk.alias("mercado"), F.concat("n_name", F.lit(' "á" \\')).alias("perfil"),
+        F.create_map(pick(MARKETS, nk % 22), (nk + 1).cast("int"), pick(MARKETS, (nk + 7) % 22), F.lit(7)).alias("cuotas_region"),
+        F.slice(F.array(*[F.lit(s) for s in S.SECTORS]), F.lit(1), (1 + nk % 9).cast("int")).alias("sectores"),
+        (2 + nk / 4).alias("precio_minimo"), (nk * 1000).cast("bigint").alias("volumen_medio_minimo"),
+        ((nk % 5) / 4).alias("umbral_buckets"), (1 + nk % 3).cast("int").alias("reintentos"))
+    return discovery.config_hashes(configs).select("mercado", "config_sha256", "config_json")
+
+
 def named_sql(label: str, name: str, per_bucket: int, by_sector: bool) -> str:
     regions = S.NAMED_UNIVERSES[name]
     order = values_table([(r, i) for i, r in enumerate(regions)], "region, ro")

@@ -5,13 +5,15 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Mapping, Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from valsieve import settings as S
 from valsieve.errors import DiscoveryError
+from valsieve.functions.canonical import canonical_json
 from valsieve.functions.cleaning import ticker_key
 from valsieve.session import fixed_rows
 
@@ -60,6 +62,18 @@ def config_hash(config) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def config_hashes(configs: DataFrame) -> DataFrame:
+    """Canonical JSON and SHA-256 of each row's configuration: its columns with the names of ``DiscoveryConfig``.
+
+    Equal to ``config_hash`` of the same values, whatever the order of columns, map
+    keys or struct fields.
+    """
+    kind = StructType([configs.schema[f.name] for f in fields(DiscoveryConfig)])
+    names = [F.col(f.name) for f in kind.fields]
+    text = canonical_json(F.struct(*names), kind)
+    return configs.withColumn("config_json", text).withColumn("config_sha256", F.sha2("config_json", 256))
+
+
 def quota_violations(quotas: DataFrame, expected: Sequence[str]) -> DataFrame:
     """(region, problema) of a quota table against the regions of its profile."""
     wanted = fixed_rows(quotas.sparkSession, [(r,) for r in expected], "esperada string")

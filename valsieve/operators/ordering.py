@@ -1,9 +1,10 @@
 """Exact order statistics without sorting a whole group in one task.
 
 A value is mapped to a bucket by a monotone function, so bucket totals give
-exact positions: only the bucket that holds a wanted rank, or each bucket by
+exact ranks: only the bucket that holds a wanted rank, or each bucket by
 itself, is ever ordered in one task.  The number of buckets is bounded by the
-double range (``BUCKET_LIMIT``), not by the data.
+double range (``BUCKET_LIMIT``), not by the data.  Rows themselves are numbered in
+ordered ranges.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from valsieve.functions.cleaning import as_col
-from valsieve.session import sized
+from valsieve.session import sized, stage_table
 
 BUCKETS_PER_UNIT = 1024
 BUCKET_LIMIT = 1_000_000
@@ -140,23 +141,22 @@ def attach_descending_ranks(df: DataFrame, columns: dict[str, str]) -> DataFrame
 
 def positions(df: DataFrame, keys: Sequence[str], score: str, tie: Sequence[str],
               position: str = "posicion") -> DataFrame:
-    """1-based ascending position within ``keys`` by (score, ties), missing last."""
-    keys = list(keys)
-    bucketed = df.withColumn(
-        "_bucket", F.coalesce(value_bucket(score), F.lit(-MISSING_BUCKET))
-    )
-    running = (
-        Window.partitionBy(*keys).orderBy("_bucket")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    offsets = (
-        bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.sum("_n").over(running) - F.col("_n"))
-        .drop("_n")
-    )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(F.asc_nulls_last(score), *tie)
-    return (
-        bucketed.join(offsets, [*keys, "_bucket"])
-        .withColumn(position, F.col("_before") + F.row_number().over(inside))
-        .drop("_bucket", "_before")
-    )
+    """1-based ascending position within ``keys`` by (score, ties), missing last.
+
+    Rows are dealt to ordered ranges of (keys, score, ties) and written with their
+    range, so however many rows share a key, a score or a missing score, a range is
+    about as large as any other.  The rows before a range follow from the counts of
+    ranges, one row per range and key; inside, rows are numbered range by range.
+    Only rows that agree in everything named have to meet.
+    """
+    keys, order = list(keys), [F.asc_nulls_last(score), *tie]
+    placed = stage_table(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sized(
+        placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"), "range-offsets")
+    inside = Window.partitionBy("_range", *keys).orderBy(*order)
+    named = offsets.toDF(*[f"_key{i}" for i in range(len(keys))], "_offset_range", "_before")
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    numbered = placed.withColumn("_k", F.row_number().over(inside)).join(named, [F.col("_range") == F.col("_offset_range"), *same])
+    return numbered.select(*df.columns, (F.col("_before") + F.col("_k")).alias(position))

@@ -81,81 +81,87 @@ def wealth_index(prices: DataFrame) -> DataFrame:
         "indice", F.try_divide(F.col("close"), F.col("_start"))).drop("_start")
 
 
-def drawdowns(prices: DataFrame) -> DataFrame:
-    """Worst fall below the running maximum, per ticker."""
-    return forward_path(prices).groupBy("ticker").agg(F.min("max_drawdown").alias("max_drawdown"))
+def known_closes(prices: DataFrame) -> DataFrame:
+    """ticker, day and close of the days that have one, with their segment."""
+    clean = prices.select("ticker", F.to_date("fecha").alias("fecha"), nan_to_null("close").alias("close"))
+    return clean.where(F.col("close").isNotNull()).withColumn("_seg", segment_of("fecha"))
 
 
-def forward_path(prices: DataFrame) -> DataFrame:
-    """For every close, what happens from that day on.
+def worst_of_segments(low: str, high: str, worst: str, later) -> tuple[Column, Column]:
+    """Lowest close of all later segments, and the worst fall that begins in a segment.
 
-    Adds the worst later drawdown, the number of closes left, and the last
-    close and day.  A drawdown from ``s`` on is the least of (lowest later
-    close / close) over the days from ``s``, so it needs suffix minima only
-    and never the pairs of days.  Suffix values are taken inside a (ticker,
-    month) segment and completed with those of the later segments.
+    A segment is summarised by its lowest and highest close and its worst fall.
+    Two in a row merge: a fall lies in one of them, or goes from the highest close
+    of the first to the lowest of the second.
     """
-    clean = prices.select("ticker", F.to_date("fecha").alias("fecha"), nan_to_null("close").alias("close"))
-    clean = clean.where(F.col("close").isNotNull()).withColumn("_seg", segment_of("fecha"))
-    segment = Window.partitionBy("ticker", "_seg").orderBy("fecha")
+    ahead = F.min(low).over(later)
+    return ahead, F.least(F.col(worst), F.try_divide(ahead, F.col(high)) - 1)
+
+
+def drawdowns(prices: DataFrame) -> DataFrame:
+    """Worst fall below the running maximum, per ticker.
+
+    One scan and one shuffle of the closes by (ticker, month); then only a summary
+    of each month is shuffled by ticker.
+    """
+    inside = Window.partitionBy("ticker", "_seg").orderBy("fecha").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     later = Window.partitionBy("ticker").orderBy("_seg").rowsBetween(*AFTER_HERE)
+    fall = F.try_divide(F.col("close"), F.max("close").over(inside)) - 1
+    months = known_closes(prices).withColumn("_fall", fall).groupBy("ticker", "_seg").agg(
+        F.min("close").alias("_low"), F.max("close").alias("_high"), F.min("_fall").alias("_worst"))
+    _, worst = worst_of_segments("_low", "_high", "_worst", later)
+    return months.withColumn("_worst", worst).groupBy("ticker").agg(F.min("_worst").alias("max_drawdown"))
+
 
-    lows = clean.groupBy("ticker", "_seg").agg(
-        F.min("close").alias("_low"), F.count(F.lit(1)).alias("_n"),
-        F.max_by(F.struct(F.col("fecha"), F.col("close")), "fecha").alias("_last"))
-    ahead = lows.select(
-        "ticker", "_seg", F.min("_low").over(later).alias("_low_ahead"),
-        F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_n_ahead"),
-        F.coalesce(F.max("_last").over(later), F.col("_last")).alias("_end"))
-    low_here = F.least(F.min("close").over(segment.rowsBetween(*FROM_HERE)), F.col("_low_ahead"))
-    falls = clean.join(ahead, ["ticker", "_seg"]).withColumns({
-        "_fall": F.try_divide(low_here, F.col("close")) - 1,
-        "observaciones": F.count(F.lit(1)).over(segment.rowsBetween(*FROM_HERE)) + F.col("_n_ahead")})
-    worst = falls.groupBy("ticker", "_seg").agg(F.min("_fall").alias("_worst")).select(
-        "ticker", "_seg", F.min("_worst").over(later).alias("_worst_ahead"))
-    return falls.join(worst, ["ticker", "_seg"]).select(
-        "ticker", "fecha", "close",
-        F.least(F.min("_fall").over(segment.rowsBetween(*FROM_HERE)), F.col("_worst_ahead")).alias("max_drawdown"),
-        "observaciones", F.col("_end.fecha").alias("ultima_fecha"), F.col("_end.close").alias("precio_actual"))
-
-
-def join_entry(signal_rows: DataFrame, path: DataFrame, entry: str = "fecha_entrada") -> DataFrame:
-    """Attach to every signal the first close on or after its entry day.
-
-    A forward as-of join without a range join: signals and closes of a ticker
-    are put in one stream ordered by day, and each signal takes the next close
-    of its month.  Where the month has none, it is the first close of the next
-    month that has one: a single row per (ticker, month) looks it up among the
-    later months and hands it back to its month.  Signals without any later
-    close are kept.
+def signal_prices(signal_rows: DataFrame, prices: DataFrame, entry: str = "fecha_entrada") -> DataFrame:
+    """Every signal with its entry close and day, and what happens from there on; no price keeps NULLs.
+
+    Adds the worst later drawdown, the number of closes, and the last close and
+    day.  Signals and closes of a (ticker, month) meet in one shuffle, where each signal
+    takes the next close and the suffix values from there.  Months are then told
+    from each other by their leading rows only: those carry a mergeable
+    summary, get the values of all later months, and hand them back to the signals of
+    their month.  A month without a close behind the entry leaves the signal to
+    the first later one.  The prices are scanned once, without a join.
     """
-    carried = [c for c in path.columns if c != "ticker"]
-    closes = path.select("ticker", segment_of("fecha").alias("_seg"), F.col("fecha").alias("_day"), F.struct(*carried).alias("_close"), F.lit(1).alias("_kind"))
-    close_type, signal_type = closes.schema["_close"].dataType, T.StructType(signal_rows.schema.fields)
+    value = "struct<fecha: date, close: double>"
+    closes = known_closes(prices).select(
+        "ticker", "_seg", F.col("fecha").alias("_day"), F.struct("fecha", "close").cast(value).alias("_close"), F.lit(1).alias("_kind"))
+    day = F.to_date(entry)
     asked = signal_rows.select(
-        "ticker", segment_of(F.to_date(entry)).alias("_seg"), F.to_date(entry).alias("_day"),
-        F.lit(None).cast(close_type).alias("_close"), F.lit(0).alias("_kind"), F.struct(*signal_rows.columns).alias("_signal"))
-    stream = asked.unionByName(closes.withColumn("_signal", F.lit(None).cast(signal_type)))
+        "ticker", segment_of(day).alias("_seg"), day.alias("_day"), F.lit(None).cast(value).alias("_close"),
+        F.lit(0).alias("_kind"), F.struct(*signal_rows.columns).alias("_signal"))
+    stream = asked.unionByName(closes.withColumn("_signal", F.lit(None).cast(T.StructType(signal_rows.schema.fields))))
     month = Window.partitionBy("ticker", "_seg")
     by_day = month.orderBy("_day", "_kind")
-    everywhere = by_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    local = stream.withColumns({
-        "_next": F.first("_close", ignorenulls=True).over(by_day.rowsBetween(*FROM_HERE)),
-        "_first": F.first("_close", ignorenulls=True).over(everywhere),
-        "_lead": F.row_number().over(by_day) == 1,
-    }).where(F.col("_lead") | (F.col("_kind") == 0))
-    # Only the leading row of each month meets those of the other months.
-    leaders = Window.partitionBy("ticker", F.when(~F.col("_lead"), F.col("_seg"))).orderBy("_seg").rowsBetween(*AFTER_HERE)
-    after = F.when(F.col("_lead"), F.first("_first", ignorenulls=True).over(leaders))
-    found = local.withColumn("_after", after).withColumn("_after", F.first("_after", ignorenulls=True).over(month))
-    best = F.coalesce("_next", "_after")
-    return found.where(F.col("_kind") == 0).select("_signal.*", best.alias("_close")).select(
-        *signal_rows.columns, *[F.col(f"_close.{c}").alias(c) for c in carried])
+    onward, whole = by_day.rowsBetween(*FROM_HERE), by_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    suffix = stream.withColumn("_fall", F.try_divide(F.min("_close.close").over(onward), F.col("_close.close")) - 1)
 
+    def summary(frame) -> Column:
+        return F.struct(
+            F.first("_close", ignorenulls=True).over(frame).alias("first"), F.last("_close", ignorenulls=True).over(frame).alias("last"),
+            F.count("_close").over(frame).alias("n"), F.min("_close.close").over(frame).alias("low"),
+            F.max("_close.close").over(frame).alias("high"), F.min("_fall").over(frame).alias("worst"))
 
-def signal_prices(signal_rows: DataFrame, prices: DataFrame, entry: str = "fecha_entrada") -> DataFrame:
-    """Every signal with its entry close and day; no price keeps NULLs."""
-    return join_entry(signal_rows, forward_path(prices), entry)
+    local = suffix.withColumns({"_here": summary(onward), "_month": summary(whole), "_lead": F.row_number().over(by_day) == 1})
+    local = local.where(F.col("_lead") | (F.col("_kind") == 0)).select("ticker", "_seg", "_kind", "_signal", "_here", "_month", "_lead")
+    # Only the leading row of each month meets those of the other months.
+    later = Window.partitionBy("ticker", F.when(~F.col("_lead"), F.col("_seg"))).orderBy("_seg").rowsBetween(*AFTER_HERE)
+    low, worst = worst_of_segments("_month.low", "_month.high", "_month.worst", later)
+    merged = local.withColumns({"_low": low, "_worst": worst})
+    ahead = F.struct(
+        F.first("_month.first", ignorenulls=True).over(later).alias("first"), F.last("_month.last", ignorenulls=True).over(later).alias("last"),
+        F.coalesce(F.sum("_month.n").over(later), F.lit(0)).alias("n"), F.col("_low").alias("low"), F.min("_worst").over(later).alias("worst"))
+    handed = merged.withColumn("_ahead", F.when(F.col("_lead"), ahead)).withColumn("_ahead", F.first("_ahead", ignorenulls=True).over(month))
+    entered = handed.where(F.col("_kind") == 0)
+    first, last = F.coalesce("_here.first", "_ahead.first"), F.coalesce("_ahead.last", "_here.last")
+    observed = F.col("_here.n") + F.col("_ahead.n")
+    crossing = F.try_divide(F.col("_ahead.low"), F.col("_here.high")) - 1
+    return entered.select(
+        "_signal.*", first["fecha"].alias("fecha"), first["close"].alias("close"),
+        F.least("_here.worst", crossing, "_ahead.worst").alias("max_drawdown"),
+        F.when(first.isNotNull(), observed).alias("observaciones"),
+        last["fecha"].alias("ultima_fecha"), last["close"].alias("precio_actual"))
 
 
 def signal_performance(signal_rows: DataFrame, prices: DataFrame, entry: str = "fecha_entrada") -> DataFrame:

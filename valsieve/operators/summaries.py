@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from valsieve import settings as S
@@ -75,6 +75,57 @@ def run_control(evaluated: DataFrame, obtained: DataFrame, min_success: float =
         "datos_ok", "datos_revisar", "datos_inutilizables")
 
 
+class RunCounts:
+    """Counts of a run, gathered while its evaluated table is written.
+
+    Rows are counted behind the collapse of listings and behind the rules, so a
+    rule that loses rows shows.  Both lie in the last stage of that job, where
+    Spark counts each partition once, also when tasks run again after a lost executor.
+    """
+
+    def __init__(self) -> None:
+        self.companies, self.kept = Observation(), Observation()
+
+    def of_companies(self, df: DataFrame) -> DataFrame:
+        return df.observe(self.companies, F.count(F.lit(1)).alias("empresas"))
+
+    def of_kept(self, df: DataFrame) -> DataFrame:
+        grade = F.coalesce(F.col("calidad_datos"), F.lit("inutilizable"))
+        named = F.when(has_text("proveedor_datos"), blank_to_empty("proveedor_datos"))
+        return df.observe(
+            self.kept, F.count(F.lit(1)).alias("empresas_evaluadas"), F.count_if("pasa").alias("candidatas"),
+            F.min(named).alias("primer_proveedor"), F.max(named).alias("ultimo_proveedor"),
+            F.count_if(grade == "ok").alias("datos_ok"), F.count_if(grade == "revisar").alias("datos_revisar"),
+            F.count_if(grade.isin(UNUSABLE)).alias("datos_inutilizables"))
+
+    def values(self) -> Mapping[str, object]:
+        return self.companies.get | self.kept.get
+
+
+def observed_control(evaluated: DataFrame, counts: RunCounts, obtained: DataFrame, min_success: float = S.MIN_DOWNLOAD_SUCCESS,
+                     requested: DataFrame | None = None) -> DataFrame:
+    """The control record of ``run_control`` from counts gathered on the way.
+
+    The evaluated table isn't read again, but for the names of providers where a run has
+    several; of ``obtained`` one column is counted, without collapsing its listings once more.
+    """
+    seen = counts.values()
+    first, last = seen["primer_proveedor"] or "", seen["ultimo_proveedor"] or ""
+    providers = F.lit(first) if first == last else evaluated.agg(provider_list()).scalar()
+    rows = F.count(F.lit(1))
+    row = obtained.agg(rows.alias("resultados_brutos"), F.count_if(has_text("error_descarga")).alias("errores_descarga"))
+    gross = F.col("resultados_brutos")
+    asked = gross if requested is None else requested.agg(rows).scalar()
+    correct = gross - F.col("errores_descarga")
+    whole = lambda name: F.lit(seen[name]).cast("bigint")
+    return row.withColumn("tickers_solicitados", asked).select(
+        "tickers_solicitados", "resultados_brutos", correct.alias("descargas_correctas"), "errores_descarga",
+        (gross - whole("empresas")).alias("deduplicados"), whole("empresas_evaluadas").alias("empresas_evaluadas"),
+        whole("candidatas").alias("candidatas"), F.try_divide(correct, F.col("tickers_solicitados")).alias("tasa_exito_descarga"),
+        F.lit(float(min_success)).alias("umbral_exito_minimo"), providers.alias("proveedor_datos"),
+        *[whole(c).alias(c) for c in ("datos_ok", "datos_revisar", "datos_inutilizables")])
+
+
 def api_summary(control: DataFrame, requested: int | None = None) -> DataFrame:
     """The public summary with its deterministic conclusion.
 

@@ -8,6 +8,7 @@ from typing import Any, NamedTuple
 from pyspark.sql import DataFrame
 
 from valsieve.operators import listings, metrics, ranking, screen
+from valsieve.operators.summaries import RunCounts
 from valsieve.session import stage_table
 
 
@@ -17,6 +18,7 @@ class Analysis(NamedTuple):
     evaluated: DataFrame
     ranked: DataFrame
     thresholds: dict[str, Any]
+    counts: RunCounts | None = None
 
 
 def analyze(fundamentals: DataFrame, thresholds: Mapping[str, Any] | None = None,
@@ -24,12 +26,15 @@ def analyze(fundamentals: DataFrame, thresholds: Mapping[str, Any] | None = None
     """Medians first, over every listing; only then are listings collapsed.
 
     With ``stage`` the evaluated table is written once, so the ranks and the
-    final join do not compute everything above it again.
+    final join do not compute everything above it again, and the counts of its
+    control record are gathered in the same job.
     """
     limits = screen.resolve_thresholds(thresholds)
     table = metrics.compute_metrics(fundamentals, limits)
     companies = listings.dedup_listings(table)
-    evaluated = screen.apply_screen(companies, limits)
+    evaluated, counts = screen.apply_screen(companies, limits), None
     if stage:
-        evaluated = stage_table(evaluated, "evaluated")
-    return Analysis(table, companies, evaluated, ranking.rank_candidates(evaluated), limits)
+        counts = RunCounts()
+        counted = counts.of_companies(companies)
+        evaluated = stage_table(counts.of_kept(screen.apply_screen(counted, limits)), "evaluated")
+    return Analysis(table, companies, evaluated, ranking.rank_candidates(evaluated), limits, counts)

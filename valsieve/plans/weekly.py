@@ -40,7 +40,7 @@ def run_weekly(fundamentals: DataFrame, journal_path: str, runs_path: str, momen
     if official and not active:
         raise UniverseError("an official run needs the active universe")
     analysis = analyze(fundamentals, thresholds)
-    control = summaries.run_control(analysis.evaluated, fundamentals, requested=requested)
+    control = summaries.observed_control(analysis.evaluated, analysis.counts, fundamentals, requested=requested)
     integrity.require_valid(analysis.evaluated, control)
     spark = fundamentals.sparkSession
     identity = spark.range(1).select(snapshot_id(F.lit(moment).cast("timestamp")).alias("id")).first()["id"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +12,7 @@ from pyspark.sql import types as T
 
 from valsieve import schemas
 from valsieve import settings as S
-from valsieve.errors import SelectionError, UniverseError
+from valsieve.errors import IntegrityError, SelectionError, UniverseError
 from valsieve.functions.cleaning import safe_date, safe_double, safe_int, text_bool
 from valsieve.functions.dates import snapshot_id
 from valsieve.operators import discovery
@@ -54,6 +57,50 @@ def read_text_table(spark: SparkSession, path: str, schema: T.StructType, words=
         (typed(c, known[c], words) if c in known else F.col(c)).alias(c) for c in raw.columns])
 
 
+def header_cells(line: Column, separator: str) -> Column:
+    """The cells of one CSV line, quotes taken off."""
+    mark = re.escape(separator)
+    raw = F.regexp_extract_all(F.concat(line, F.lit(separator)), F.lit(f'("(?:[^"]|"")*"|[^{mark}]*){mark}'), F.lit(1))
+    inner = lambda c: F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    cells = F.transform(raw, lambda c: F.when(c.startswith('"'), inner(c)).otherwise(c))
+    return F.when(line == "", F.array().cast("array<string>")).otherwise(cells)
+
+
+def read_headers(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
+    """archivo, cabecera: the first line of every part of a stored text table, folders below included.
+
+    A part is told by its path, and its header by the block that begins at its
+    first byte: other blocks give no row, and of that block one line per file is
+    kept map-side.  Nothing is parsed but the headers.  Empty files have no row.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        "value", F.col("_metadata.file_path").alias("archivo"), F.col("_metadata.file_block_start").alias("_start"))
+    first = lines.where("_start = 0").withColumn("_at", F.monotonically_increasing_id())
+    return first.groupBy("archivo").agg(header_cells(F.min_by("value", "_at"), separator).alias("cabecera"))
+
+
+def header_problems(spark: SparkSession, path: str, expected: Sequence[str], separator: str = ",") -> DataFrame:
+    """(archivo, problema) of every part of a text table whose header isn't exactly ``expected``."""
+    wanted = F.array(*[F.lit(c) for c in expected])
+    cells = F.col("cabecera")
+    named = lambda label, columns: F.when(F.size(columns) > 0, F.concat(F.lit(label), F.array_join(columns, ", ")))
+    parts = F.array_compact(F.array(named("faltan: ", F.array_except(wanted, cells)), named("sobran: ", F.array_except(cells, wanted))))
+    problem = F.when(F.size(parts) > 0, F.array_join(parts, "; ")).otherwise(F.lit("orden o repetición"))
+    return read_headers(spark, path, separator).where(cells != wanted).select("archivo", problem.alias("problema"))
+
+
+def require_headers(spark: SparkSession, path: str, expected: Sequence[str]) -> None:
+    """Refuse to append to a text table that has parts of another layout; a missing or empty one is fine."""
+    try:
+        problem = header_problems(spark, path, expected).first()
+    except AnalysisException as error:
+        if is_missing(error):
+            return
+        raise
+    if problem is not None:
+        raise IntegrityError(f"{problem['archivo']}: {problem['problema']}")
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A Parquet table with its declared schema, or an empty one."""
     try:
