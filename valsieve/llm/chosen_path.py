@@ -7,12 +7,12 @@
    coordinates (1 / similarity of them on average), and its classes go to the
    child of each chosen minwise token, so that a pair at the wanted similarity
    keeps one common path on average.  A class alone in a node is done there,
-   a node of at most ``SMALL`` classes is a leaf, and larger ones branch again,
-   ``DEPTH`` times at most.  The number of trees follows from the target recall
-   at that depth.
+   a node of at most ``SMALL`` classes is a leaf, and larger ones branch again, as
+   often as ``choose_depth`` says for the number of classes.  The number of trees follows from the target
+   recall at that depth.
 3. Classes of a leaf are compared with each other by a byte of each of their minwise tokens.  Pairs
    whose estimate is within four standard deviations of the wanted similarity
-   are tied, and a node that still is large after ``DEPTH`` steps ties all its classes.
+   are tied, and a node that still is large after the last step ties all its classes.
    What is tied, directly or over others, is one cluster; every pair with a common leaf that
    may be linked lies within one.
 4. Links are confirmed on full sets, once per cluster.  A cluster that fits one block
@@ -43,7 +43,11 @@ from valsieve.llm.common import join_hot, pieces, row_key, ship, stage, starts_o
 from valsieve.llm.jaccard_join import grams_of, mixed, overlaps
 
 SHINGLE, PERCENT, RECALL = 2, 80, 0.99
-COORDINATES, SMALL, DEPTH, HUBS = 64, 512, 5, 4
+COORDINATES, SKETCH, SMALL, HUBS = 64, 32, 512, 4
+#: Tasks that the rows of one set are dealt to at least.
+SALTS = 4
+#: Steps of a tree at least; each step is to leave a tenth of the unlike texts of a node together.
+DEPTH, APART = 3, 0.1
 #: Rounds of a component search; labels halve their distance in each, so this is never met.
 ROUNDS = 64
 #: Classes and shingles of a block.
@@ -62,6 +66,11 @@ def survival(similarity: float, depth: int) -> float:
     return chance
 
 
+def choose_depth(classes: int) -> int:
+    """Steps after which a node with ``APART`` of the unlike texts of each step before is small."""
+    return max(DEPTH, ceil(log(max(classes, 1) / SMALL) / log(1 / APART)))
+
+
 def choose_trees(similarity: float, recall: float = RECALL, depth: int = DEPTH) -> int:
     """Independent trees until a pair at ``similarity`` shares a leaf with probability ``recall``."""
     if not 0.5 < similarity < 1:
@@ -69,14 +78,14 @@ def choose_trees(similarity: float, recall: float = RECALL, depth: int = DEPTH)
     return ceil(log(1 - recall) / log(1 - survival(similarity, depth)))
 
 
-def least_agreement(similarity: float, coordinates: int = COORDINATES) -> int:
+def least_agreement(similarity: float, coordinates: int = SKETCH) -> int:
     """Equal minwise tokens that a pair at ``similarity`` has but for four standard deviations."""
     return max(1, int(coordinates * similarity - 4 * sqrt(coordinates * similarity * (1 - similarity))))
 
 
 def minwise(rows: np.ndarray, shingles: np.ndarray, count: int) -> np.ndarray:
-    """Minwise tokens of each row (0 where it has no shingle)."""
-    out = np.zeros((count, COORDINATES), np.int32)
+    """Minwise tokens of each row, two bytes of each (0 where it has no shingle)."""
+    out = np.zeros((count, COORDINATES), ">u2")
     present, first = np.unique(rows, return_index=True)
     rng = np.random.default_rng(20250413)
     times = rng.integers(0, 1 << 63, COORDINATES, dtype=np.int64).astype(WIDE) * WIDE(2) + WIDE(1)
@@ -84,7 +93,7 @@ def minwise(rows: np.ndarray, shingles: np.ndarray, count: int) -> np.ndarray:
     if len(present):
         for k in range(COORDINATES):
             least = np.minimum.reduceat(shingles * times[k] + plus[k], first)
-            out[present, k] = (mixed(least) >> WIDE(32)).astype(np.uint32).view(np.int32)
+            out[present, k] = mixed(least) >> WIDE(48)
     return out
 
 
@@ -98,17 +107,16 @@ def sign_batches(batches):
             own = np.unique(shingles[a:b])
             sizes.append(len(own))
             digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-        offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * COORDINATES
         yield pa.RecordBatch.from_pydict({
             "doc_id": batch.column("doc_id"), "row_hash": batch.column("row_hash"), "digest": pa.array(digests, pa.binary()),
-            "size": pa.array(sizes, pa.int64()), "tokens": pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens.ravel())),
-            "sketch": pa.array([row.tobytes() for row in tokens.astype(np.uint8)], pa.binary())})
+            "size": pa.array(sizes, pa.int64()), "tokens": pa.array([row.tobytes() for row in tokens], pa.binary()),
+            "sketch": pa.array([row.tobytes() for row in tokens[:, :SKETCH].astype(np.uint8)], pa.binary())})
 
 
 def signatures(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, row_hash bigint, digest binary, size bigint, tokens array<int>, sketch binary"
+    schema = f"doc_id {kind}, row_hash bigint, digest binary, size bigint, tokens binary, sketch binary"
     keyed = docs.select(*row_key(), text_of().alias("text"))
     return stage(keyed.mapInArrow(sign_batches, schema).withColumn("row", F.monotonically_increasing_id()), "path-signatures")
 
@@ -125,15 +133,15 @@ def children(path: Column, tokens: Column, second: float) -> Column:
     one = F.pmod(F.xxhash64(path, F.lit(11)), F.lit(COORDINATES)).cast("int")
     other = F.pmod(one + 1 + F.pmod(F.xxhash64(path, F.lit(13)), F.lit(COORDINATES - 1)), F.lit(COORDINATES)).cast("int")
     both = F.pmod(F.xxhash64(path, F.lit(17)), F.lit(1 << 20)) < int(second * (1 << 20))
-    child = lambda k: F.xxhash64(path, k, F.get(tokens, k))
+    child = lambda k: F.xxhash64(path, k, F.substring(tokens, 2 * k + 1, F.lit(2)))
     return F.when(both, F.array(child(one), child(other))).otherwise(F.array(child(one)))
 
 
-def branch(classes: DataFrame, trees: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Members (node, path) of the leaves, and of the nodes that are large after ``DEPTH`` steps."""
+def branch(classes: DataFrame, trees: int, depth: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Members (node, path) of the leaves, and of the nodes that are large after ``depth`` steps."""
     narrow, leaves = classes.select("node", "tokens"), []
     rows = narrow.withColumn("path", F.explode(F.array(*[F.xxhash64(F.lit("tree"), F.lit(k)) for k in range(trees)])))
-    for _ in range(DEPTH):
+    for _ in range(depth):
         below = rows.select("node", F.explode(children(F.col("path"), F.col("tokens"), 1 / similarity - 1)).alias("path"))
         met = below.groupBy("path").agg(F.count("*").alias("members")).where("members > 1")
         together = stage(below.join(met, "path"), "path-members")
@@ -197,10 +205,10 @@ def tie_batches(batches, percent: int, agree: int):
     found, size = [], 0
     for group in groups_of(batches, ("path",), ("node", "size", "sketch"), ()):
         node, sizes, sketches = (np.concatenate([g[i] for g in group]) for i in range(3))
-        tokens = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(node), COORDINATES)
+        tokens = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(node), SKETCH)
         near = 100 * np.minimum.outer(sizes, sizes) >= percent * np.maximum.outer(sizes, sizes)
         np.fill_diagonal(near, False)
-        step = max(1, (1 << 22) // (len(node) * COORDINATES))
+        step = max(1, (1 << 22) // (len(node) * SKETCH))
         for a in range(0, len(node), step):
             near[a:a + step] &= (tokens[a:a + step, None, :] == tokens[None, :, :]).sum(axis=2) >= agree
         root = forest(near)
@@ -282,10 +290,9 @@ def full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     keyed = docs.select(*row_key(), text_of().alias("text")).withColumns(
         {f"bit{k}": F.pmod(F.xxhash64("doc_id", "row_hash", F.lit(k)), F.lit(bits)) for k in (1, 2)})
     found = keyed.mapInArrow(task, f"set_id {kind}, set_hash bigint, `set` array<bigint>")
-    firsts = members.select("node", "cluster", F.col("first.doc_id").alias("doc_id"), F.col("first.row_hash").alias("row_hash"))
-    same = firsts.doc_id.eqNullSafe(found.set_id) & (firsts.row_hash == found.set_hash)
+    same = members["first.doc_id"].eqNullSafe(found.set_id) & (members["first.row_hash"] == found.set_hash)
     # rows that repeat id and text have equal sets; any of them stands for the class
-    return stage(firsts.join(found, same).select("node", "cluster", "set"), "path-sets")
+    return stage(members.join(found, same).select("node", "cluster", "set"), "path-sets")
 
 
 def hub_links(sets: DataFrame, large: DataFrame, percent: int) -> DataFrame:
@@ -293,7 +300,7 @@ def hub_links(sets: DataFrame, large: DataFrame, percent: int) -> DataFrame:
     drawn = [F.min(F.struct(F.xxhash64("node", F.lit(k)), "node"))["node"].alias(f"hub{k}") for k in range(HUBS)]
     hubs = large.groupBy("cluster").agg(*drawn).select("cluster", F.posexplode(F.array(*[f"hub{k}" for k in range(HUBS)])).alias("turn", "hub"))
     own = sets.join(large.select("cluster").distinct(), "cluster", "left_semi")
-    chosen = hubs.join(own.drop("cluster"), hubs.hub == own.node).groupBy("cluster").agg(F.collect_list(F.struct("turn", "hub", "set")).alias("hubs"))
+    chosen = own.drop("cluster").join(hubs, F.col("node") == F.col("hub")).groupBy("cluster").agg(F.collect_list(F.struct("turn", "hub", "set")).alias("hubs"))
     met = join_hot(own, chosen, "cluster", "node").select("node", "set", F.explode("hubs").alias("h"))
     common = F.size(F.array_intersect("set", "h.set"))
     linked = met.where(100 * common >= percent * (F.size("set") + F.size("h.set") - common))
@@ -357,16 +364,19 @@ def confirm_batches(batches, percent: int):
 
 def confirmed(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Edges (node, root) that connect what is linked within clusters."""
-    sets = full_sets(docs, members)
+    sets, group = full_sets(docs, members), ["cluster", "low", "high"]
     shape = members.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("size").alias("shingles"))
     big = stage(shape.where((F.col("members") > BLOCK_MEMBERS) | (F.col("shingles") > BLOCK_SHINGLES)).select("cluster"), "path-large")
-    parts, known = members.select("node", "cluster", "size", F.lit(True).alias("outer")), None
+    known = None
+    # the sets of a cluster of one block go to its task as they are
+    meeting = sets.join(big, "cluster", "left_anti").select("cluster", F.lit(0).alias("low"), F.lit(0).alias("high"), "node", "set")
     if not big.isEmpty():
         large = members.join(big, "cluster", "left_semi")
         known = hub_links(sets, large, percent)
-        parts = parts.join(big, "cluster", "left_anti").unionByName(stage(with_outer(large, known), "path-outer"))
-    group = ["cluster", "low", "high"]
-    dealt = cells_of(parts).join(sets.select("node", "set"), "node").repartition(*group).sortWithinPartitions(*group, "node")
+        cells = cells_of(stage(with_outer(large, known), "path-outer"))
+        of_large = sets.join(big, "cluster", "left_semi").drop("cluster")
+        meeting = meeting.unionByName(cells.join(of_large, "node").select(*group, "node", "set"))
+    dealt = meeting.repartition(*group).sortWithinPartitions(*group, "node")
     links = dealt.select(*group, "node", "set").mapInArrow(lambda b: confirm_batches(b, percent), "node bigint, root bigint")
     return stage(links if known is None else links.unionByName(known.select("node", "root").where("node <> root")), "path-links")
 
@@ -380,7 +390,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, recall: float = REC
     """
     signed = signatures(docs)
     classes = classes_of(signed)
-    leaves, large = branch(classes, choose_trees(percent / 100, recall), percent / 100)
+    depth = choose_depth(classes.count())
+    leaves, large = branch(classes, choose_trees(percent / 100, recall, depth), depth, percent / 100)
     members = clusters_of(classes, leaves, large, percent)
     named = classes.select("node", "digest", "first")
     if members is None:
@@ -391,6 +402,6 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, recall: float = REC
         parts = stage(parts.select("digest", "part", "first"), "path-parts")
         least = parts.groupBy("part").agg(F.min("first").alias("head"))
         heads = parts.join(least, "part").select("digest", F.col("head.doc_id").alias("component_id"))
-    out = join_hot(signed.select("doc_id", "digest", "size", "row"), heads, "digest", "row")
+    out = join_hot(signed.select("doc_id", "digest", "size", "row"), heads, "digest", "row", SALTS)
     component = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
