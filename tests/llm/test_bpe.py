@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -66,3 +67,38 @@ def test_empty_table_and_missing_id(spark):
     assert bpe.encode(none, PATH).count() == 0
     row = bpe.encode(spark.createDataFrame([(None, None, "x")], none.schema), PATH).first()
     assert row.doc_id is None and row.n_tokens == 0 and row.decoded_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def batch_of(texts):
+    return pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="abÀÉéßÿ×÷ªΣς'.,!?;:1 \n\x85́<|>İǅ", max_size=30), max_size=6))
+def test_batches_equal_the_library(texts):
+    texts = [*texts, "a<|endoftext|>b", None]
+    got = [r for b in bpe.encode_batches([batch_of(texts)], PATH, True) for r in b.to_pylist()]
+    for row, text in zip(got, texts, strict=True):
+        ids, said = wanted(text)
+        assert row["ids"] == ids and row["n_tokens"] == len(ids)
+        assert row["decoded_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_a_full_store_changes_nothing(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_TOKENS", 50)
+    store = bpe.TokenStore(TREE)
+    rng = np.random.default_rng(4)
+    for _ in range(12):
+        words = sorted({"".join(rng.choice(list("thanerio"), rng.integers(1, 7))) for _ in range(40)})
+        ids, counts = store.pieces(pa.array([w + "!" * int(rng.integers(3)) for w in words], pa.large_string()))
+        named = pa.array(words, pa.large_string())
+        at = store.places(named)
+        assert [store.ids[s:s + c].tolist() for s, c in zip(store.starts[at].tolist(), store.counts[at].tolist(), strict=True)] == [wanted(w)[0] for w in words]
+        assert len(store.tokens) <= 50 + 80 and counts.sum() == len(ids)
+
+
+def test_repeated_rows_and_long_texts(spark):
+    texts = ["word " * 50_000, "word " * 50_000, "x" * 70_000, "a.b,c", "a.b,c"]
+    rows = bpe.encode(spark.createDataFrame([(7, t) for t in texts], "doc_id bigint, text string"), PATH, with_ids=False).collect()
+    assert sorted((r.n_tokens, r.ids_sha256) for r in rows) == sorted(
+        (len(wanted(t)[0]), hashlib.sha256(np.array(wanted(t)[0], "<u4").tobytes()).hexdigest()) for t in texts)
