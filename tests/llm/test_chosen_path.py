@@ -91,7 +91,7 @@ def test_threshold_is_exact(spark):
     assert found(spark, rows) == brute(rows)
 
 
-@pytest.mark.parametrize("small, block", [(512, 384), (4, 12)])
+@pytest.mark.parametrize("small, block", [(512, 768), (4, 12)])
 def test_near_copies_in_large_groups(spark, monkeypatch, small, block):
     monkeypatch.setattr(chosen_path, "SMALL", small)
     monkeypatch.setattr(chosen_path, "BLOCK_MEMBERS", block)

@@ -51,7 +51,11 @@ DEPTH, APART = 3, 0.1
 #: Rounds of a component search; labels halve their distance in each, so this is never met.
 ROUNDS = 64
 #: Classes and shingles of a block.
-BLOCK_MEMBERS, BLOCK_SHINGLES = 384, 400_000
+BLOCK_MEMBERS, BLOCK_SHINGLES = 768, 1_000_000
+#: A cluster of more blocks is compared with its hubs first; one of fewer sends its sets to so many tasks at most.
+FEW_BLOCKS = 3
+#: Narrow rows that are counted and then broadcast rather than making the sets move: some 10 MB.
+BROADCAST_ROWS = 200_000
 #: The filter that spares texts without a cluster the way to the confirmation: bits a row, and bits at most.
 FILTER_BITS_EACH, FILTER_BITS = 16, 1 << 27
 WIDE = np.uint64
@@ -290,6 +294,7 @@ def full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     keyed = docs.select(*row_key(), text_of().alias("text")).withColumns(
         {f"bit{k}": F.pmod(F.xxhash64("doc_id", "row_hash", F.lit(k)), F.lit(bits)) for k in (1, 2)})
     found = keyed.mapInArrow(task, f"set_id {kind}, set_hash bigint, `set` array<bigint>")
+    members = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
     same = members["first.doc_id"].eqNullSafe(found.set_id) & (members["first.row_hash"] == found.set_hash)
     # rows that repeat id and text have equal sets; any of them stands for the class
     return stage(members.join(found, same).select("node", "cluster", "set"), "path-sets")
@@ -299,8 +304,9 @@ def hub_links(sets: DataFrame, large: DataFrame, percent: int) -> DataFrame:
     """Links (node, root, bit) of ``HUBS`` classes of each large cluster, drawn by hash, each itself included."""
     drawn = [F.min(F.struct(F.xxhash64("node", F.lit(k)), "node"))["node"].alias(f"hub{k}") for k in range(HUBS)]
     hubs = large.groupBy("cluster").agg(*drawn).select("cluster", F.posexplode(F.array(*[f"hub{k}" for k in range(HUBS)])).alias("turn", "hub"))
-    own = sets.join(large.select("cluster").distinct(), "cluster", "left_semi")
-    chosen = own.drop("cluster").join(hubs, F.col("node") == F.col("hub")).groupBy("cluster").agg(F.collect_list(F.struct("turn", "hub", "set")).alias("hubs"))
+    hubs = stage(hubs, "path-hubs")  # ``HUBS`` narrow rows a large cluster: Spark knows their size
+    own = sets.join(hubs.where("turn = 0").select("cluster"), "cluster", "left_semi")
+    chosen = sets.drop("cluster").join(hubs, F.col("node") == F.col("hub")).groupBy("cluster").agg(F.collect_list(F.struct("turn", "hub", "set")).alias("hubs"))
     met = join_hot(own, chosen, "cluster", "node").select("node", "set", F.explode("hubs").alias("h"))
     common = F.size(F.array_intersect("set", "h.set"))
     linked = met.where(100 * common >= percent * (F.size("set") + F.size("h.set") - common))
@@ -365,16 +371,20 @@ def confirm_batches(batches, percent: int):
 def confirmed(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Edges (node, root) that connect what is linked within clusters."""
     sets, group = full_sets(docs, members), ["cluster", "low", "high"]
-    shape = members.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("size").alias("shingles"))
-    big = stage(shape.where((F.col("members") > BLOCK_MEMBERS) | (F.col("shingles") > BLOCK_SHINGLES)).select("cluster"), "path-large")
-    known = None
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("size") / BLOCK_SHINGLES))
+    shape = stage(members.groupBy("cluster").agg(blocks.cast("int").alias("blocks")).where("blocks > 1"), "path-large")
     # the sets of a cluster of one block go to its task as they are
-    meeting = sets.join(big, "cluster", "left_anti").select("cluster", F.lit(0).alias("low"), F.lit(0).alias("high"), "node", "set")
-    if not big.isEmpty():
-        large = members.join(big, "cluster", "left_semi")
-        known = hub_links(sets, large, percent)
-        cells = cells_of(stage(with_outer(large, known), "path-outer"))
-        of_large = sets.join(big, "cluster", "left_semi").drop("cluster")
+    meeting = sets.join(shape, "cluster", "left_anti").select("cluster", F.lit(0).alias("low"), F.lit(0).alias("high"), "node", "set")
+    known, larger = None, shape.where(F.col("blocks") > FEW_BLOCKS).select("cluster")
+    if not shape.isEmpty():
+        some = members.join(shape, "cluster", "left_semi").select("node", "cluster", "size")
+        outer = some.withColumn("outer", F.lit(True))
+        if not larger.isEmpty():
+            large = some.join(larger, "cluster", "left_semi")
+            known = hub_links(sets, large, percent)
+            outer = outer.join(larger, "cluster", "left_anti").unionByName(with_outer(large, known))
+        cells = cells_of(stage(outer, "path-outer"))
+        of_large = sets.join(shape, "cluster", "left_semi").drop("cluster")
         meeting = meeting.unionByName(cells.join(of_large, "node").select(*group, "node", "set"))
     dealt = meeting.repartition(*group).sortWithinPartitions(*group, "node")
     links = dealt.select(*group, "node", "set").mapInArrow(lambda b: confirm_batches(b, percent), "node bigint, root bigint")
