@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -12,6 +13,8 @@ from valsieve.catalog import query
 from valsieve.catalog.oracle import THEMES, UID, in_list, values_table
 from valsieve.catalog.tables import CREATED_AT, DISCOVERY_ID, MARKETS, OBSERVED, VOLUME_FLOOR, pick
 from valsieve.operators import discovery, listings, universe
+from valsieve.session import shared_folder
+from valsieve.sources.quote_pages import read_quote_pages, write_quote_pages
 
 PLACE = {"region": "region_descubrimiento", "sector": "sector_descubrimiento"}
 BIG = "CAST({} AS BIGINT)"
@@ -24,6 +27,17 @@ def quote_scan(t):
         F.sum("volume").alias("volumen"), F.sum("mcap_c").alias("capital"))
 
 
+@query("quote_pages", """
+SELECT region, sector, ticker, ROUND(price, 6) AS price, CAST(volume AS BIGINT) AS volume, CAST(mcap_c AS BIGINT) AS mcap_c
+FROM quotes WHERE region IN ('us', 'de', 'jp') AND sector <> 'Energy' AND volume >= 100""")
+def quote_pages(t):
+    """All quotes as pages of a listing service; those of three markets are opened."""
+    folder = f"{shared_folder(t.spark)}/quote-pages-{uuid.uuid4().hex}"
+    write_quote_pages(t.quotes(), folder, 500)
+    rows = read_quote_pages(t.spark, folder).where(F.col("region").isin("us", "de", "jp") & (F.col("sector") != "Energy") & (F.col("volume") >= 100))
+    return rows.select("region", "sector", "ticker", F.round("price", 6).alias("price"), "volume", "mcap_c")
+
+
 @query("quote_prefilter", f"""
 SELECT tipo_activo, region, category, ticker FROM fondos WHERE price >= 2 AND CASE tipo_activo
  WHEN 'accion' THEN region IN {in_list(S.DISCOVERY_QUOTAS)} AND volume >= {VOLUME_FLOOR} AND category IN {in_list(S.SECTORS)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from valsieve import settings as S
@@ -9,6 +11,8 @@ from valsieve.catalog import query
 from valsieve.catalog.oracle import in_list, values_table
 from valsieve.catalog.tables import OBSERVED
 from valsieve.operators import verification
+from valsieve.session import shared_folder, stage_table
+from valsieve.sources import writers
 
 MOMENT = "2024-02-02 08:00:00"
 DIRECT = " OR ".join(f"(metrica = '{f}' AND concepto IN {in_list(names)})" for f, names in S.DIRECT_CONCEPTS.items())
@@ -68,3 +72,13 @@ def append_verification(t):
     existing = new.where(F.col("metrica").isin("ingresos", "cash") & (pk % 2 == 0))
     twice = new.withColumn("estado", F.lit("anterior")).withColumn("verificado_en_utc", F.lit("2024-01-01")).unionByName(new)
     return verification.pending(twice, existing).select("ticker", "metrica", "estado")
+
+
+@query("append_verification_bucketed", f"SELECT ticker, metrica, {STATE} AS estado FROM finales", FINAL)
+def append_verification_bucketed(t):
+    """Two components first, then all of them twice: the bucketed table holds each row once."""
+    new = stage_table(verified(t).select(*S.VERIFICATION_COLUMNS), "verified")
+    path = f"{shared_folder(t.spark)}/verification-{uuid.uuid4().hex}"
+    for part in (new.where(F.col("metrica").isin("ingresos", "cash")), new, new):
+        stored = writers.append_verification_bucketed(part, path, 8)
+    return stored.select("ticker", "metrica", "estado")

@@ -20,6 +20,8 @@ SESSION_CONF = {
     # Plans here have thousands of expressions; do not record a call site for each.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Filters on market and sector go to the list of quote pages.
+    "spark.sql.python.filterPushdown.enabled": "true",
 }
 
 

@@ -149,6 +149,8 @@ VERIFICATION_COLUMNS = [
     "verificado_en_utc",
 ]
 VERIFICATION_KEYS = ["snapshot_id", "ticker", "proveedor_secundario", "metrica"]
+#: Buckets of a stored verification table; to be chosen with the size of the history.
+VERIFICATION_BUCKETS = 64
 
 # --- Truth words (fixed values) --------------------------------------------
 TRUE_WORDS = ["true", "1", "sí", "si", "yes"]

@@ -7,6 +7,8 @@ control row is written last: a snapshot without a control row was interrupted.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,6 +97,34 @@ def append_verification(new: DataFrame, path: str) -> DataFrame:
     return readers.read_verification(new.sparkSession, path)
 
 
+def verification_table(spark, path: str, buckets: int = S.VERIFICATION_BUCKETS) -> str:
+    """Declare the bucketed verification table stored at ``path`` and return its name.
+
+    Its rows lie in ``buckets`` buckets of the verification keys; a table that is on file
+    must be declared with the number it was made with.
+    """
+    name = "verification_" + hashlib.sha256(path.encode()).hexdigest()[:16]
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schemas.VERIFICATION.fields)
+    keys = ", ".join(S.VERIFICATION_KEYS)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({keys}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return name
+
+
+def append_verification_bucketed(new: DataFrame, path: str, buckets: int = S.VERIFICATION_BUCKETS) -> DataFrame:
+    """``append_verification`` for a table bucketed by its keys.
+
+    The new rows are shuffled to the buckets and meet the stored keys there: what is
+    on file, however much, is read bucket by bucket and never shuffled.
+    """
+    if new.columns != S.VERIFICATION_COLUMNS:
+        raise VerificationError("not the verification layout")
+    spark = new.sparkSession
+    name = verification_table(spark, path, buckets)
+    rows = conform(verification.pending(new, spark.table(name)), schemas.VERIFICATION)
+    rows.repartition(buckets, *S.VERIFICATION_KEYS).write.insertInto(name)
+    return spark.table(name)
+
+
 def write_screen_csv(ranked: DataFrame, path: str) -> None:
     """Every company with metrics, verdict and reasons."""
     columns = [c for c in schemas.EVALUATED_COLUMNS if c in ranked.columns]
