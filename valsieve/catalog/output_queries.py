@@ -66,8 +66,6 @@ def candidate_brief_bundle(t):
 
 
 LIMITS = {**S.THRESHOLDS, **CAP_FLOOR}
-NUMBERS = ["per", "per_mediana_sector", "ev_ebit", "deuda_ebitda", "cobertura_int"]
-SHARES = ["fcf_yield", "roic", "margen_op", "cagr_ingresos"]
 
 
 def reasons_sql() -> str:
@@ -100,22 +98,15 @@ def reasons_sql() -> str:
     return "concat_ws('; ', " + ", ".join(parts) + ")"
 
 
-# Values with as many decimals as are shown, so that rendering never meets a tie.
-SHORT = {"cortas": f"""
-SELECT * REPLACE ({', '.join(
-    [f'FLOOR(ROUND({c}, 6) * 10 + 1e-3) / 10 AS {c}' for c in NUMBERS] + [f'FLOOR(ROUND({c}, 6) * 1000 + 1e-3) / 1000 AS {c}' for c in SHARES]
-    + ['FLOOR(ROUND(market_cap_eur / 1e7, 6) + 1e-3) * 1e7 AS market_cap_eur'])}) FROM empresas"""}
+#: Numbers inside the sentences are left out: their values are columns of other queries, and engines render decimal ties differently.
+NUMBER = "[0-9]+[.][0-9]+"
 
 
-@query("reason_text", f"SELECT ticker, {reasons_sql()} = '' AS pasa, {reasons_sql()} AS motivos_descarte FROM cortas", SHORT)
+@query("reason_text", f"SELECT ticker, {reasons_sql()} = '' AS pasa, regexp_replace({reasons_sql()}, '{NUMBER}', '#', 'g') AS motivos_descarte FROM empresas")
 def reason_text(t):
-    """Rendered reasons of values with few decimals."""
+    """Verdicts and rendered reasons of the unaltered values."""
     companies = listings.dedup_listings(metrics.compute_metrics(t.observations()))
-    short = companies.withColumns({
-        **{c: F.floor(F.round(c, 6) * 10 + 1e-3).cast("double") / 10 for c in NUMBERS},
-        **{c: F.floor(F.round(c, 6) * 1000 + 1e-3).cast("double") / 1000 for c in SHARES},
-        "market_cap_eur": F.floor(F.round(F.col("market_cap_eur") / 1e7, 6) + 1e-3).cast("double") * 1e7})
-    return screen.apply_screen(short, LIMITS).select("ticker", "pasa", "motivos_descarte")
+    return screen.apply_screen(companies, LIMITS).select("ticker", "pasa", F.regexp_replace("motivos_descarte", NUMBER, "#").alias("motivos_descarte"))
 
 
 @query("export_history_json", """
@@ -143,8 +134,6 @@ def api_records(t):
 
 ROUNDED = ["market_cap", "market_cap_eur", *[c for c in S.RATIO_COLUMNS if c not in ("roic_fiable", "region")], "per_mediana_sector"]
 PUBLISHED = [c for c in S.METRIC_COLUMNS if c not in ROUNDED and c not in ("fecha_consulta_utc", "incidencias_datos")]
-#: Numbers inside the sentences are left out: their values are columns of their own.
-NUMBER = "[0-9]+[.][0-9]+"
 
 
 @query("write_screen_rows", f"""
