@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from valsieve import settings as S
 from valsieve.errors import VerificationError
 from valsieve.sources import writers
-from valsieve.sources.quote_pages import PageReader, read_quote_pages, write_quote_pages
+from valsieve.sources.quote_pages import FilteringPageReader, read_quote_pages, write_quote_pages
 
 
 @pytest.fixture
@@ -25,6 +25,12 @@ def test_filters_choose_the_pages(spark, pages):
     assert table.rdd.getNumPartitions() == 18
     some = table.where(F.col("region").isin("us", "jp") & (F.col("sector") == "Real Estate") & (F.col("volume") > 20))
     assert some.rdd.getNumPartitions() == 6 and some.count() == 8
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    try:  # all pages are read, and Spark filters
+        plain = read_quote_pages(spark, path).where(F.col("region") == "us")
+        assert plain.count() == 51 and plain.rdd.getNumPartitions() == 18
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     none = table.where(F.col("region") == "fr")
     assert none.count() == 0 and none.rdd.getNumPartitions() <= 1
 
@@ -32,7 +38,7 @@ def test_filters_choose_the_pages(spark, pages):
 def test_filters_on_other_columns_stay_with_spark():
     from pyspark.sql.datasource import EqualTo, GreaterThan
 
-    reader = PageReader("x")
+    reader = FilteringPageReader("x")
     other = GreaterThan(("volume",), 5)
     assert list(reader.pushFilters([EqualTo(("region",), "us"), other, EqualTo(("region",), "de")])) == [other]
     assert reader.wanted == {"region": set()}

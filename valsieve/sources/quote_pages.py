@@ -37,15 +37,6 @@ class PageReader(DataSourceReader):
         self.path = path
         self.wanted: dict[str, set[str]] = {}
 
-    def pushFilters(self, filters):
-        for one in filters:
-            if isinstance(one, (EqualTo, In)) and len(one.attribute) == 1 and one.attribute[0] in FOLDERS:
-                values = {one.value} if isinstance(one, EqualTo) else set(one.value)
-                name = one.attribute[0]
-                self.wanted[name] = self.wanted[name] & values if name in self.wanted else values
-            else:
-                yield one
-
     def partitions(self):
         from pyarrow import fs
 
@@ -76,10 +67,23 @@ class PageReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([*place, *(batch.column(n) for n in names)], names=[*FOLDERS, *names])
 
 
-class QuotePages(DataSource):
+class FilteringPageReader(PageReader):
+    """Spark refuses a reader that takes filters where their pushing is switched off, so this is a reader of its own."""
+
+    def pushFilters(self, filters):
+        for one in filters:
+            if isinstance(one, (EqualTo, In)) and len(one.attribute) == 1 and one.attribute[0] in FOLDERS:
+                values = {one.value} if isinstance(one, EqualTo) else set(one.value)
+                name = one.attribute[0]
+                self.wanted[name] = self.wanted[name] & values if name in self.wanted else values
+            else:
+                yield one
+
+
+class AllQuotePages(DataSource):
     @classmethod
     def name(cls) -> str:
-        return "quote_pages"
+        return "all_quote_pages"
 
     def schema(self) -> str:
         return SCHEMA
@@ -88,10 +92,21 @@ class QuotePages(DataSource):
         return PageReader(self.options["path"])
 
 
+class QuotePages(AllQuotePages):
+    @classmethod
+    def name(cls) -> str:
+        return "quote_pages"
+
+    def reader(self, schema) -> PageReader:
+        return FilteringPageReader(self.options["path"])
+
+
 def read_quote_pages(spark: SparkSession, path: str) -> DataFrame:
     """region, sector, ticker, price, mcap_c, volume of all pages below ``path``."""
-    spark.dataSource.register(QuotePages)
-    return spark.read.format("quote_pages").load(path)
+    pushing = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false") == "true"
+    source = QuotePages if pushing else AllQuotePages
+    spark.dataSource.register(source)
+    return spark.read.format(source.name()).load(path)
 
 
 def write_quote_pages(quotes: DataFrame, path: str, rows: int) -> None:
